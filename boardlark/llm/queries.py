@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardlark.llm import bpe, hash_tree, pii
-from boardlark.llm.shared import read
+from boardlark.llm import bpe, hash_tree, jpeg, langid, pii
+from boardlark.llm.shared import held_out, read
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -29,6 +29,19 @@ def op5_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.assign(read(spark, sf_dir, "documents"), TREE, hash_tree.grow(TREE, 24)).withColumn("law", F.lit("key"))
 
 
+def op7_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jpeg.store(read(spark, sf_dir, "documents"), keep=["doc_id"], media=None)
+    feature = F.concat_ws(";", F.concat_ws("x", "width", "height"), "thumb_hash")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"))
+    profiles = langid.collect_profiles(langid.learn(docs, usable=~held))
+    return langid.identify(docs, profiles, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"]))
 
@@ -36,6 +49,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op5_hash_tree": op5_hash_tree,
+    "op7_jpeg": op7_jpeg,
+    "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
 }
 
