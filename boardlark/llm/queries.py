@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardlark.llm import bpe, hash_tree, jpeg, langid, pii
+from boardlark.llm import bpe, divergence, hash_tree, jpeg, langid, pii
 from boardlark.llm.shared import held_out, read
 
 
@@ -29,6 +29,10 @@ def op5_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.assign(read(spark, sf_dir, "documents"), TREE, hash_tree.grow(TREE, 24)).withColumn("law", F.lit("key"))
 
 
+def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(read(spark, sf_dir, "documents"))
+
+
 def op7_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jpeg.store(read(spark, sf_dir, "documents"), keep=["doc_id"], media=None)
     feature = F.concat_ws(";", F.concat_ws("x", "width", "height"), "thumb_hash")
@@ -49,6 +53,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op5_hash_tree": op5_hash_tree,
+    "op6_divergence": op6_divergence,
     "op7_jpeg": op7_jpeg,
     "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
