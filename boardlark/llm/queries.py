@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardlark.llm import bpe, divergence, hash_tree, jpeg, langid, pii
+from boardlark.llm import bpe, divergence, hash_tree, jpeg, langid, minhash, pii
 from boardlark.llm.shared import held_out, read
 
 
@@ -21,6 +21,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(read(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=2)
+
+
 #: 24 shards in 3 regions of 2 racks.
 TREE = hash_tree.layout(3, 2, 4)
 
@@ -52,6 +56,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op4_minhash": op4_minhash,
     "op5_hash_tree": op5_hash_tree,
     "op6_divergence": op6_divergence,
     "op7_jpeg": op7_jpeg,
