@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardlark.llm import bpe, divergence, hash_tree, jpeg, langid, minhash, pii
+from boardlark.llm import bpe, divergence, hash_tree, jpeg, langid, minhash, pii, toxicity
 from boardlark.llm.shared import held_out, read
 
 
@@ -21,6 +21,14 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(read(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"), usable=~held)
+    scored = toxicity.classify(docs, model, keep=["doc_id"])
+    evidence = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["example"], e["label"], F.round(e["cosine"], 4))), ",")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC_FROM).cast("int").alias("predicted"), evidence.alias("evidence"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=2)
 
@@ -56,6 +64,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op3_toxicity": op3_toxicity,
     "op4_minhash": op4_minhash,
     "op5_hash_tree": op5_hash_tree,
     "op6_divergence": op6_divergence,
