@@ -8,7 +8,7 @@ Search.  Examples lie in blocks of the inverted index; for each term the index k
 visited in falling order of the bound that these maxima give, and the search ends when the next bound is below the k-th best cosine, so the result is
 the exact k nearest.  A text without any term of the vocabulary has no neighbours.
 
-Score.  Neighbours vote by 1 / (distance + SOFT), each class weighted to its share among all labelled documents.  The votes of the examples, each
+Score.  Neighbours vote by cosine / (distance + SOFT), each class weighted to its share among all labelled documents, with a prior vote for these shares.  The votes of the examples, each
 judged without itself and its copies, are put in order by isotonic regression, which maps a vote to a probability; texts without neighbours get the
 share of toxic documents among the examples without any.  Evidence names the nearest examples.
 
@@ -38,6 +38,8 @@ TERMS = 5000
 LEAST, SHARE, TIMES = 8, 0.004, 12.0
 #: Neighbours, examples in a block, softness of the distance weights, and examples shown as evidence.
 NEIGHBOURS, BLOCK, SOFT, SHOWN = 25, 64, 0.05, 3
+#: The weight of a vote for the shares of all labels, beside the neighbours'; far neighbours alone don't outweigh it.
+PRIOR = 2.0
 #: From this score on a document is predicted toxic.
 TOXIC_FROM = 0.3
 CACHE_WORDS = 300_000
@@ -133,7 +135,8 @@ class Model:
         self.vocabulary = {t: i for i, (t, _) in enumerate(vocabulary)}
         self.idf = np.array([x for _, x in vocabulary])
         n = Counter(e[1] for e in examples)
-        self.class_weight = {c: shares[c] / n[c] if n[c] else 0.0 for c in (0, 1)}
+        self.shares = shares
+        self.class_weight = {c: shares[c] * len(examples) / n[c] if n[c] else 0.0 for c in (0, 1)}
         held = []
         for e in examples:
             terms = np.array(sorted(self.vocabulary[t] for t in e[2] if t in self.vocabulary), np.int64)
@@ -164,10 +167,8 @@ class Model:
         return w / np.sqrt((w * w).sum())
 
     def _vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
-        if not len(ids):
-            return 0.0
-        w = self.votes_of[ids] / (np.maximum(0, 1 - cosines) + SOFT)
-        return float(w[self.labels[ids] == 1].sum() / w.sum()) if w.sum() > 0 else 0.0
+        w = self.votes_of[ids] * cosines / (np.maximum(0, 1 - cosines) + SOFT)
+        return float((w[self.labels[ids] == 1].sum() + PRIOR * self.shares[1]) / (w.sum() + PRIOR))
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """The probability that a text is toxic, and the nearest examples as (id, label, cosine)."""
