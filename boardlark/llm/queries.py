@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardlark.llm import bpe, divergence, hash_tree, jpeg, langid, minhash, pii, toxicity
-from boardlark.llm.shared import held_out, read
+from boardlark.llm import bpe, divergence, hash_tree, jpeg, langid, minhash, pii, raking, token_rollup, toxicity
+from boardlark.llm.shared import Scratch, held_out, read
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -21,6 +21,36 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(read(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches over the whole table: a quick estimate at loading, the exact counts as revisions, word counts under a second version, and the
+    removal of exact copies.  The second is committed twice, to no effect."""
+    scratch = Scratch(spark, "rollup")
+    docs = read(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(
+        "doc_id", "text", "source", "lang",
+        F.ceil(F.octet_length(text) / 4).alias("estimate"),
+        F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("long").alias("words"),
+        F.sha2(text.cast("binary"), 256).alias("name"),
+    )
+    counted = scratch.table(token_rollup.rank_tokens(docs, tokenizer_path("byte_bpe_50k.tiktoken"), keep=["doc_id", "source", "lang", "estimate", "words", "name"]), "counted")
+    first = counted.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    copies = scratch.table(counted.join(first, ["name", "doc_id"], "left_anti"), "copies")
+
+    def changes(rows: DataFrame, op: str, tokenizer: str, n: str, old: str | None = None) -> DataFrame:
+        return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(n).alias("n_tokens"), (F.col(old) if old else F.lit(None).cast("long")).alias("old_tokens"))
+
+    store = token_rollup.RollupStore(spark, f"{scratch.root}/store")
+    exact = changes(counted, token_rollup.REVISE, "byte_bpe_50k", "n_tokens", "estimate")
+    store.commit("0001-load", changes(counted, token_rollup.INSERT, "byte_bpe_50k", "estimate"))
+    store.commit("0002-exact", exact)
+    store.commit("0003-words", changes(counted, token_rollup.INSERT, "words", "words"))
+    store.compact()
+    store.commit("0004-copies", changes(copies, token_rollup.DELETE, "byte_bpe_50k", "n_tokens").union(changes(copies, token_rollup.DELETE, "words", "words")))
+    store.commit("0002-exact", exact)
+    return store.totals().select("source", "lang", "tokenizer", F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = read(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
     model = toxicity.learn(docs, read(spark, sf_dir, "labels"), usable=~held)
@@ -62,8 +92,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"]))
 
 
+def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raking.mixed(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("weight", 3).alias("cell_weight"), F.round("probability", 9).alias("probability"), "selected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_token_rollup": op2_token_rollup,
     "op3_toxicity": op3_toxicity,
     "op4_minhash": op4_minhash,
     "op5_hash_tree": op5_hash_tree,
@@ -71,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jpeg": op7_jpeg,
     "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
+    "op10_raking": op10_raking,
 }
 
 ORACLE_SQL: dict[str, str] = {}
