@@ -35,7 +35,7 @@ PRE_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r\x20\x85\xa0"
 NARROW_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Words that a worker's cache holds before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 #: Longer words aren't kept in the cache.
 CACHE_BYTES = 64
 #: Entries of the automaton's table that a worker keeps before it starts anew.
@@ -152,33 +152,46 @@ class MergeAutomaton:
         self._row = {}
 
     def walk(self, word: bytes) -> list[int]:
-        """The ids of one pre-split word."""
-        moves, outs, pairs, get_pair = self.moves, self.outs, self.pairs, self.pairs.get
-        last = [1 << 20]
-        node = 0
-        for i, b in enumerate(word, 1):
+        """The ids of one pre-split word.  The encoding of a prefix ends in one certain token, the one among those that end there which has an arc
+        after the encoding of what comes before it; of short words only the prefixes that the last token leads back to are looked at."""
+        moves, node, nodes = self.moves, 0, []
+        for b in word:
             key = node << 8 | b
             node = moves.get(key, -1)
             if node < 0:
                 node = self._move(key)
-            for t, size in outs[node]:
-                before = last[i - size]
-                key = before << 20 | t
-                ok = get_pair(key)
-                if ok is None:
-                    ok = pairs[key] = self.arc(0 if i == size else self.target[before], t)
-                if ok:
-                    last.append(t)
-                    break
-            else:
-                raise ValueError(f"the vocabulary has no token for byte {b}")
+            nodes.append(node)
         n = len(word)
-        ids = []
+        last = [-1] * (n + 1)
+        last[0] = 1 << 20
+        if n <= CACHE_BYTES:
+            self._last(n, nodes, last)
+        else:
+            for i in range(1, n + 1):
+                self._last(i, nodes, last)
+        ids, labels = [], self.labels
         while n:
             t = last[n]
             ids.append(t)
-            n -= len(self.labels[t])
-        return ids[::-1]
+            n -= len(labels[t])
+        ids.reverse()
+        return ids
+
+    def _last(self, i: int, nodes: list[int], last: list[int]) -> int:
+        """The last token of the encoding of the first i bytes."""
+        pairs = self.pairs
+        for t, size in self.outs[nodes[i - 1]]:
+            before = last[i - size]
+            if before < 0:
+                before = self._last(i - size, nodes, last)
+            key = before << 20 | t
+            ok = pairs.get(key)
+            if ok is None:
+                ok = pairs[key] = self.arc(0 if i == size else self.target[before], t)
+            if ok:
+                last[i] = t
+                return t
+        raise ValueError("the vocabulary lacks a byte")
 
     def _move(self, key: int) -> int:
         node, b = key >> 8, key & 255
