@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one Python step works on; bounds the memory of a worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Rows and bytes that Spark puts in one Arrow batch.
-BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

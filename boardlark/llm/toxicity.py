@@ -42,7 +42,7 @@ NEIGHBOURS, BLOCK, SOFT, SHOWN = 25, 64, 0.05, 3
 PRIOR = 2.0
 #: From this score on a document is predicted toxic.
 TOXIC_FROM = 0.3
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+").findall
 
