@@ -50,19 +50,19 @@ def fit(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
         else:
             tempered = F.pow(F.sum("tokens").over(by[d]).cast("double"), F.lit(POWER[d]))
             cells = cells.withColumn("own", tempered).withColumn("first", F.row_number().over(by[d].orderBy(*[f"_{x}" for x in DIMENSIONS])) == 1)
-            cells = cells.withColumn(f"to_{d}", F.col("own") / F.sum(F.when(F.col("first"), F.col("own"))).over(every)).drop("own", "first")
+            cells = cells.withColumn(f"to_{d}", F.try_divide("own", F.sum(F.when(F.col("first"), F.col("own"))).over(every))).drop("own", "first")
     cells = cells.withColumn("total", F.sum("tokens").over(every).cast("double")).withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(rounds):
         for d in DIMENSIONS:
             now = F.sum("weight").over(by[d])
-            cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * (F.col(f"to_{d}") * F.col("total") / now)).otherwise(F.lit(0.0)))
-    cells = cells.withColumn("factor", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
+            cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.try_divide(F.col(f"to_{d}") * F.col("total"), now)).otherwise(F.lit(0.0)))
+    cells = cells.withColumn("factor", F.when(F.col("tokens") > 0, F.try_divide("weight", "tokens")))
     # Cells in falling order of factor: if the first k are taken whole, the rest share what is left of the budget.
     falling = Window.orderBy(F.desc_nulls_last("factor"), *[f"_{x}" for x in DIMENSIONS])
     before = falling.rowsBetween(Window.unboundedPreceding, -1)
     after = falling.rowsBetween(0, Window.unboundedFollowing)
     left = F.greatest(F.lit(0.0), F.lit(budget) * F.col("total") - F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    cells = cells.withColumn("scale", left / F.sum("weight").over(after))
+    cells = cells.withColumn("scale", F.try_divide(left, F.sum("weight").over(after)))
     fits = F.min(F.when(F.col("scale") * F.col("factor") <= 1, F.struct(-F.col("factor"), "scale"))).over(every)["scale"]
     cells = cells.withColumn("probability", F.when(F.col("factor").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(fits, F.lit(1e300)) * F.col("factor"))))
     return cells.select(*[f"_{d}" for d in DIMENSIONS], "weight", "probability")
