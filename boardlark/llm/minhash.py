@@ -203,8 +203,10 @@ def near_duplicates(df: DataFrame, words: int = 5, similar: int = SIMILAR, id_co
     name = ["n_shingles", "set_a", "set_b"]
     # One node for each distinct set; its copies stay out of everything that follows.
     nodes = known.where("n_shingles > 0").groupBy(*name).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    nodes = scratch.table(nodes, "nodes")
     rows = nodes.where("node IS NOT NULL").select("node", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("node").alias("low")).where("m > 1")
+    # Bucket totals are written before they are joined back: both sides are then dealt out for the join alone, and a bucket of many rows can be split.
+    shared = scratch.table(rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("node").alias("low")).where("m > 1"), "shared")
     met = scratch.table(rows.join(shared, ["band", "key"]), "met")
     ids = met.select("node").distinct()
     sets = scratch.table(with_sets(docs.join(ids, docs["doc_id"] == ids["node"]).select("node", "text"), words, "text", ["node"]), "sets")
@@ -217,8 +219,9 @@ def near_duplicates(df: DataFrame, words: int = 5, similar: int = SIMILAR, id_co
     # (2) all pairs of small buckets, and each node with the smallest of each of its buckets
     close = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * similar)
     labelled = met.join(comp, "node")
-    mixed = labelled.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band", "key")
-    mixed = scratch.table(labelled.join(mixed, ["band", "key"]), "mixed")
+    labelled = scratch.table(labelled, "labelled")
+    several = labelled.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band", "key")
+    mixed = scratch.table(labelled.join(scratch.table(several, "several"), ["band", "key"]), "mixed")
     small = mixed.where(f"m <= {SMALL}")
     x, y = small.select("band", "key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), small.select("band", "key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     within = x.join(y, ["band", "key"]).where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & close(F.col("na"), F.col("nb"))).select("a", "b").distinct()
@@ -233,6 +236,7 @@ def near_duplicates(df: DataFrame, words: int = 5, similar: int = SIMILAR, id_co
     by_comp = large.groupBy("band", "key", "comp").agg(F.count("*").alias("k"))
     shape = by_comp.groupBy("band", "key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("main")).where("all > main.k")
     shape = shape.select("band", "key", F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.k")) / BLOCK).alias("firsts"), F.ceil(F.col("all") / BLOCK).alias("seconds"))
+    shape = scratch.table(shape, "shape")
     part = large.join(shape, ["band", "key"])
     spread = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
     outside = part.where("comp <> main").select("band", "key", "node", "comp", F.lit(0).alias("side"), spread(1, "firsts").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("seconds") - 1)).alias("j"))
