@@ -52,7 +52,7 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     d = d.withColumn("words", F.array_remove(F.split("t", f"{SPACE}+"), ""))
     d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SPACE[1:-1]}]")))
     # What is left after each class is taken out; every further step reads a much shorter text.
-    for k, (before, pattern) in enumerate((("t", r"\p{Ll}+"), ("t0", r"\s+"), ("t1", r"\p{Lu}+"), ("t2", r"\p{Nd}+"), ("t3", r"""[.,;:!?'"()-]+"""))):
+    for k, (before, pattern) in enumerate((("t", r"\p{Ll}+"), ("t0", f"{SPACE}+"), ("t1", r"\p{Lu}+"), ("t2", r"\p{Nd}+"), ("t3", r"""[.,;:!?'"()-]+"""))):
         d = d.withColumn(f"t{k}", F.regexp_replace(before, pattern, ""))
     left = [F.length(c) for c in ("t", "t0", "t1", "t2", "t3", "t4")]
     d = d.select(

@@ -77,7 +77,7 @@ def assign(df: DataFrame, tree: Node, grown: Node | None = None, blocks: int = 1
     )
     rows = descend(rows, "_key", tree, "shard")
     rows = descend(rows, "_key", grown, "grown_shard") if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")).drop("_key")
+    rows = rows.withColumn("_block", F.expr(f"CAST(CAST(conv(substr(md5(CAST(concat(_key, ':block') AS BINARY)), 1, 6), 16, 10) AS BIGINT) % {blocks} AS INT)")).drop("_key")
     # One row for each shard and block at most, so its size is bounded by the layout, whatever the input.
     counts = rows.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
     starts = counts.select("shard", "_block", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_block")) - F.col("_n")).alias("_start"))

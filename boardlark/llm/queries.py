@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardlark.llm import bpe, divergence, hash_tree, jpeg, langid, minhash, pii, raking, token_rollup, toxicity
+from boardlark.llm import bpe, divergence, hash_tree, jpeg, langid, minhash, oracles, pii, raking, token_rollup, toxicity
 from boardlark.llm.shared import Scratch, held_out, read
 
 
@@ -110,4 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_raking": op10_raking,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_minhash": oracles.near_duplicates(2, minhash.SIMILAR),
+    "op5_hash_tree": oracles.sharding(TREE, hash_tree.grow(TREE, 24)),
+    "op6_divergence": oracles.quality(),
+    "op10_raking": oracles.mixing(),
+}
