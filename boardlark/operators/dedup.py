@@ -112,3 +112,12 @@ def known_urls(posts: DataFrame) -> DataFrame:
     if "source_meta" in posts.columns:
         own = own.union(posts.select("_ord", F.explode(F.transform("source_meta", lambda m: m["original_url"])).alias("url")))
     return own.where("url IS NOT NULL AND url <> ''").withColumn("url", canonical("url")).groupBy("url").agg(F.max("_ord").alias("_ord"))
+
+
+def provenance(posts: DataFrame) -> DataFrame:
+    """The long form of by_title(): for every post, the position of its title's survivor and where it was seen.  One row a post, so a title that a third of
+    all posts share stays spread over tasks; use it where source_meta arrays would grow too long."""
+    key = F.when(title_key("title") != "", F.concat(F.lit("t"), title_key("title"))).otherwise(F.concat(F.lit("o"), F.to_json(F.struct("_ord"))))
+    d = posts.withColumn("_key", key)
+    first = d.groupBy("_key").agg(F.min("_ord").alias("survivor"))
+    return d.select("_key", "_ord", *META).join(first, "_key").drop("_key")

@@ -57,6 +57,22 @@ class Files:
         self.fs.rename(self.path(aside), self.path(p))
 
 
+class Lock:
+    """One writer at a time: a file that only one process can create.  acquire() says at once whether it did."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.files, self.path, self.held = Files(spark, path), path, False
+
+    def acquire(self) -> bool:
+        self.held = self.held or self.files.fs.createNewFile(self.files.path(self.path))
+        return self.held
+
+    def release(self) -> None:
+        if self.held:
+            self.files.delete(self.path)
+            self.held = False
+
+
 def guard(new_count: int, old_count: int, min_records: int = 1, min_retain_ratio: float = 0.5) -> None:
     """Raises StoreError if a snapshot is too small, or too small beside the rows of the old one that retention would keep."""
     if new_count < min_records:

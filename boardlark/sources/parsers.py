@@ -15,6 +15,7 @@ from urllib.parse import urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from boardlark.functions.urls import canonical_url
 from boardlark.operators.markdown import from_html, image_only
@@ -235,11 +236,23 @@ def parsed_lists(pages: DataFrame, board: Board) -> DataFrame:
 
 
 def parsed_posts(pages: DataFrame, board: Board) -> DataFrame:
+    """One row a detail page.  error: required_field_empty:... or parse_error:..., null for a post that can be used."""
+
     def each(i, u, h):
-        p = post(h, u, board)
-        return [(i, canonical_url(u), p["title"], p["content"], p["published_at"], p["category"], p["attachments"])]
+        try:
+            p, error = post(h, u, board), None
+        except Exception as e:  # one bad page is reported and doesn't end the run
+            p, error = {"title": "", "content": "", "published_at": None, "category": None, "attachments": []}, f"parse_error:{type(e).__name__}"
+        missing = [k for k in ("title", "content") if not p[k].strip()]
+        error = error or ("required_field_empty:" + ",".join(missing) if missing else None)
+        return [(i, canonical_url(u), p["title"], p["content"], p["published_at"], p["category"], p["attachments"], error)]
+
+    return _pass(pages, each, "page_id bigint, original_url string, title string, content string, published_at string, category string, attachments array<struct<name:string,url:string>>, error string")
+
 
-    return _pass(pages, each, "page_id bigint, original_url string, title string, content string, published_at string, category string, attachments array<struct<name:string,url:string>>")
+def failed_items(posts: DataFrame) -> DataFrame:
+    """(url, reason) of parsed_posts() that can't be used: what goes to the dead letters."""
+    return posts.where("error IS NOT NULL").select(F.col("original_url").alias("url"), F.col("error").alias("reason"))
 
 
 def parsed_assets(pages: DataFrame, tag: str = "img") -> DataFrame:

@@ -271,3 +271,27 @@ def test_robots(spark):
 
 def test_taxonomy_orders():
     assert len(UNIVERSITY.audience_order) == 8 and len(UNIVERSITY.group_order) == 25
+
+
+def test_api_and_command_line(spark, tmp_path, corpus, capsys):
+    from boardlark.__main__ import main
+    from boardlark.api import Notices, number
+
+    assert number("x", 3) == 3 and number(" 7 ", 1) == 7
+    store = Store(spark, f"file://{tmp_path}/api")
+    store.publish(corpus.withColumn("_ord", F.monotonically_increasing_id()))
+    api = Notices(store)
+    first = api.page("대회", page="x", page_size="999", today=date(2026, 5, 15))
+    assert (first.total, first.page, first.page_size, first.items[0]["id"]) == (1, 1, 100, "cs") and first.facets["sources"] == []
+    assert api.page(filters=Filters(audience="대학원생", source_group="없음")).effective_source_group is None
+    assert api.one("cs")["title"] == "AI 경진대회" and api.one("none") is None and api.ask("장학금").references[0]["id"] == "graduate"
+    path = tmp_path / "in.json"
+    path.write_text(json.dumps([{"title": "a", "content": "<p>본문</p>", "id": "1"}, {"title": "b", "content": "자격 • 나이"}]), encoding="utf-8")
+    assert main(["publish", "--input", str(path), "--store", f"file://{tmp_path}/cli"]) == 0
+    assert main(["audit", "--json", str(path)]) == 1 and "raw_html" in capsys.readouterr().out
+    assert main(["audit", "--store", f"file://{tmp_path}/cli", "--fail-on", "P0", "--format", "json"]) == 0
+
+
+def test_provenance(spark):
+    rows = posts(spark, {"title": "A"}, {"title": " a "}, {"title": ""}, {"title": ""})
+    assert [(r["_ord"], r["survivor"]) for r in dedup.provenance(rows).orderBy("_ord").collect()] == [(0, 0), (1, 0), (2, 2), (3, 3)]

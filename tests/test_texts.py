@@ -167,3 +167,27 @@ def test_stream_equals_batch(spark, tmp_path):
     done = feeds.write_once(feeds.sessions(feeds.file_stream(spark, str(tmp_path / "in" / "p"), events.schema), "user_id"), str(tmp_path / "out"), str(tmp_path / "cp"))
     done.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_boards_and_failures(spark):
+    from boardlark.sources import boards
+
+    sites = boards.table(spark, [boards.Site("a", "A", "official", "t1", "https://e.test/a?page={page}"), boards.Site("b", "B", "json", "t2", "https://e.test/b/{page}", 3)])
+    assert {(r["key"], r["url"]) for r in boards.list_pages(sites, 2).collect()} == {("a", "https://e.test/a?page=1"), ("a", "https://e.test/a?page=2"), ("b", "https://e.test/b/1"), ("b", "https://e.test/b/2"), ("b", "https://e.test/b/3")}
+    posts = spark.createDataFrame([(1, ["t2", "t1"]), (2, ["t9"])], "_ord bigint, source_type array<string>")
+    assert [(r["_ord"], r["key"]) for r in boards.of_posts(posts, sites).collect()] == [(1, "a")]
+    ids = spark.createDataFrame([("https://e.test/x.do?nttId=5&bbsId=01",)], "u string").select(boards.detail_ids("u").alias("d")).first()["d"]
+    assert (ids["nttId"], ids["bbsId"]) == ("5", "01")
+    pages = spark.createDataFrame([(1, "https://e.test/1", "<h4>t</h4>"), (2, "https://e.test/2", "")], "page_id bigint, url string, html string")
+    bad = parsers.failed_items(parsers.parsed_posts(pages, parsers.BOARDS["ctl"]))
+    assert {r["reason"] for r in bad.collect()} == {"required_field_empty:content", "required_field_empty:title,content"}
+
+
+def test_lock(spark, tmp_path):
+    from boardlark.operators.store import Lock
+
+    a, b = (Lock(spark, f"file://{tmp_path}/lock") for _ in range(2))
+    assert a.acquire() and not b.acquire()
+    a.release()
+    assert b.acquire()
+    b.release()
