@@ -16,14 +16,19 @@ def file_stream(spark: SparkSession, path: str, schema, most_files: int = 100) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(path)
 
 
+def timed(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """Events with a watermark; a time without a zone counts in the session's."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def rate_windows(events: DataFrame, key: str, most: int, ts: str = "ts", width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Windows over the limit, as crawl.violations(); events later than `late` are dropped, which bounds the state."""
-    windows = events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    windows = timed(events, ts, late).groupBy(F.window(ts, width).alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n"))
     return windows.where(F.col("n") > most).select("key", F.col("w.start").alias("start"), "n", (F.col("n") - most).alias("over"))
 
 
 def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n")).select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return timed(events, ts, late).groupBy(F.session_window(ts, gap).alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n")).select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def write_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
