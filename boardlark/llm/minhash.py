@@ -104,7 +104,8 @@ def sketch(elements: np.ndarray) -> np.ndarray:
 
 
 def band_keys(coordinates: np.ndarray) -> np.ndarray:
-    grid, key = coordinates.reshape(BANDS, ROWS), np.zeros(BANDS, np.uint64)
+    """One key for each band; the band's number is part of it, so a key alone names a bucket."""
+    grid, key = coordinates.reshape(BANDS, ROWS), np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(ROWS):
         key = mix64(key * _GOLD + grid[:, j])
     return key
@@ -204,27 +205,29 @@ def near_duplicates(df: DataFrame, words: int = 5, similar: int = SIMILAR, id_co
     # One node for each distinct set; its copies stay out of everything that follows.
     nodes = known.where("n_shingles > 0").groupBy(*name).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     nodes = scratch.table(nodes, "nodes")
-    rows = nodes.where("node IS NOT NULL").select("node", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
+    rows = nodes.where("node IS NOT NULL").select("node", F.explode("bands").alias("key"))
     # Bucket totals are written before they are joined back: both sides are then dealt out for the join alone, and a bucket of many rows can be split.
-    shared = scratch.table(rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("node").alias("low")).where("m > 1"), "shared")
-    met = scratch.table(rows.join(shared, ["band", "key"]), "met")
+    shared = scratch.table(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("low")).where("m > 1"), "shared")
+    met = scratch.table(rows.join(shared, "key"), "met")
     ids = met.select("node").distinct()
     sets = scratch.table(with_sets(docs.join(ids, docs["doc_id"] == ids["node"]).select("node", "text"), words, "text", ["node"]), "sets")
 
     # (1) each node with the smallest that it meets
     nearest = scratch.table(met.groupBy("node").agg(F.min("low").alias("b")).where("node <> b").withColumnRenamed("node", "a"), "nearest")
     comp = components(_confirmed(nearest, sets, similar), scratch, "first")
-    comp = scratch.table(ids.join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("comp")), "comp1")
+    sizes = nodes.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))  # one size, unless a doc_id has several texts
+    comp = scratch.table(ids.join(comp, "node", "left").join(sizes, "node").select("node", F.coalesce("root", "node").alias("comp"), "least", "most"), "comp1")
 
     # (2) all pairs of small buckets, and each node with the smallest of each of its buckets
-    close = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * similar)
+    close = (F.col("na.most") * 100 >= F.col("nb.least") * similar) & (F.col("nb.most") * 100 >= F.col("na.least") * similar)
     labelled = met.join(comp, "node")
     labelled = scratch.table(labelled, "labelled")
-    several = labelled.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band", "key")
-    mixed = scratch.table(labelled.join(scratch.table(several, "several"), ["band", "key"]), "mixed")
+    several = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    mixed = scratch.table(labelled.join(scratch.table(several, "several"), "key"), "mixed")
     small = mixed.where(f"m <= {SMALL}")
-    x, y = small.select("band", "key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), small.select("band", "key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    within = x.join(y, ["band", "key"]).where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & close(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    x = small.select("key", F.col("node").alias("a"), F.struct("least", "most").alias("na"), F.col("comp").alias("ca"))
+    y = small.select("key", F.col("node").alias("b"), F.struct("least", "most").alias("nb"), F.col("comp").alias("cb"))
+    within = x.join(y, "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
     other = comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     stars = mixed.where(f"m > {SMALL} AND node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"), F.col("comp").alias("ca")).distinct()
     stars = stars.join(other, "b").where("ca <> cb").select("a", "b")
@@ -232,17 +235,17 @@ def near_duplicates(df: DataFrame, words: int = 5, similar: int = SIMILAR, id_co
     comp = _joined(comp, _confirmed(pairs, sets, similar), scratch, "second")
 
     # (3) large buckets that still hold several components, in blocks
-    large = mixed.where(f"m > {SMALL}").drop("comp").join(comp, "node")
-    by_comp = large.groupBy("band", "key", "comp").agg(F.count("*").alias("k"))
-    shape = by_comp.groupBy("band", "key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("main")).where("all > main.k")
-    shape = shape.select("band", "key", F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.k")) / BLOCK).alias("firsts"), F.ceil(F.col("all") / BLOCK).alias("seconds"))
+    large = mixed.where(f"m > {SMALL}").select("key", "node").join(comp, "node")
+    by_comp = large.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    shape = by_comp.groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("main")).where("all > main.k")
+    shape = shape.select("key", F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.k")) / BLOCK).alias("firsts"), F.ceil(F.col("all") / BLOCK).alias("seconds"))
     shape = scratch.table(shape, "shape")
-    part = large.join(shape, ["band", "key"])
+    part = large.join(shape, "key")
     spread = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
-    outside = part.where("comp <> main").select("band", "key", "node", "comp", F.lit(0).alias("side"), spread(1, "firsts").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("seconds") - 1)).alias("j"))
-    whole = part.select("band", "key", "node", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("firsts") - 1)).alias("i"), spread(2, "seconds").alias("j"))
+    outside = part.where("comp <> main").select("key", "node", "comp", F.lit(0).alias("side"), spread(1, "firsts").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("seconds") - 1)).alias("j"))
+    whole = part.select("key", "node", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("firsts") - 1)).alias("i"), spread(2, "seconds").alias("j"))
     blocks = outside.union(whole).join(sets, "node")
-    links = blocks.groupBy("band", "key", "i", "j").applyInPandas(lambda k, p: _block_links(k, p, similar), "a bigint, b bigint").distinct()
+    links = blocks.groupBy("key", "i", "j").applyInPandas(lambda k, p: _block_links(k, p, similar), "a bigint, b bigint").distinct()
     comp = _joined(comp, links, scratch, "third", contracted=True)
 
     found = nodes.select(*name, "node").join(comp, "node", "left").select(*name, F.coalesce("comp", "node").alias("component"))
