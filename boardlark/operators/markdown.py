@@ -125,6 +125,7 @@ class _Walk:
 
 # ---- repair tables ----------------------------------------------------------------------------------------------------------------------------
 
+# The patterns of the repairs, in the order in which they apply, each with what it puts in its place.
 _CJK = r"[぀-ゟ゠-ヿ㐀-䶿一-鿿가-힯]"
 _EMPHASIS = (
     (re.compile(r"^(\s*)(?:\*\*|__)\s*([\-•▪○])\s*(?:\*\*|__)\s*", re.M), r"\1- "),

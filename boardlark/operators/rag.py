@@ -25,7 +25,7 @@ CONTEXT_CHARS, SNIPPET_CHARS, PREVIEW_CHARS, FALLBACK_ROWS = 1400, 700, 120, 3
 QUESTION_CHARS = 500
 NOTHING_FOUND = "관련 공지를 찾지 못했습니다."
 NOTHING_FOUND_ANSWER = "관련 공지를 찾지 못했습니다. 검색어를 더 구체적으로 입력하거나 공지 목록에서 직접 확인해주세요."
-OUT_OF_DOMAIN = "KAU 공지 안내만 도와드릴 수 있어요. 학사, 장학, 취업, 행사, 기숙사, 시설 등 공지 관련 질문을 해주세요."
+OUT_OF_DOMAIN = "공지 안내만 도와드릴 수 있어요. 학사, 장학, 취업, 행사, 기숙사, 시설 등 공지 관련 질문을 해주세요."
 FALLBACK_HEAD, FALLBACK_TAIL = "OpenAI API 키가 없어 로컬 검색 결과를 기준으로 안내합니다.", "정확한 일정/세부조건은 각 공지 원문 링크에서 확인해주세요."
 MISSING = {"published_at": "날짜 미상", "audience_group": "대상 미분류", "source_group": "중분류 없음", "sources": "출처 미상", "category": "분류 없음", "url": "링크 없음"}
 MODES = ("search", "history", "out_of_domain")

@@ -106,10 +106,10 @@ def test_official_board(spark):
 
 
 def test_other_boards():
-    u = "https://lib.kau.ac.kr/sb/list.mir"
+    u = "https://lib.test/sb/list.mir"
     html = """<table><tr onclick="go_view('7')"><td>1</td></tr><tr class="info" onclick="go_view('7')"><td>2</td></tr></table><p class="title">T</p><div class="view_file"><a href="#" onclick="download_file('7','x')">a.hwp</a></div>"""
-    assert parsers.list_items(html, u, parsers.BOARDS["library"]) == [("https://lib.kau.ac.kr/sb/default_notice_view.mir?sb_no=7", True)]
-    assert parsers.post(html, u, parsers.BOARDS["library"])["attachments"] == [{"name": "a.hwp", "url": "https://lib.kau.ac.kr/sb/filedownload.mir?sb_no=7&file=x"}]
+    assert parsers.list_items(html, u, parsers.BOARDS["library"]) == [("https://lib.test/sb/default_notice_view.mir?sb_no=7", True)]
+    assert parsers.post(html, u, parsers.BOARDS["library"])["attachments"] == [{"name": "a.hwp", "url": "https://lib.test/sb/filedownload.mir?sb_no=7&file=x"}]
     amtc = """<title>공지 | 원</title><h1 id="bo_v_title">t</h1><div id="bo_v_info">작성일 26-04-07 10:00</div><div id="bo_v_file"><a href="/a">a.pdf (1.2M)</a></div>"""
     p = parsers.post(amtc, "https://e.test/", parsers.BOARDS["amtc"])
     assert (p["published_at"], p["category"], p["attachments"][0]["name"]) == ("2026-04-07", "공지", "a.pdf")
