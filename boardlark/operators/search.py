@@ -74,8 +74,8 @@ def _any(columns: list[Column]) -> Column:
 
 
 def _like(column: str, needle: str) -> Column:
-    """LIKE %needle% regardless of case; the needle's own wildcards count."""
-    return F.col(column).ilike(f"%{needle}%")
+    """LIKE %needle% regardless of case; the needle's own wildcards count.  Without any it is a plain search, as the columns are lower case."""
+    return F.col(column).ilike(f"%{needle}%") if re.search(r"[%_\\]", needle) else F.contains(column, F.lit(needle.lower()))
 
 
 def candidate(q: str, synonyms: tuple[tuple[str, ...], ...] = SYNONYMS) -> Column:
