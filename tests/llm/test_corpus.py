@@ -219,8 +219,17 @@ def test_pipeline_stages(spark, sf, docs):
             assert set(after) == set(want.values())
         if name == "personal_data":
             assert set(after) == set(before) and not any(re.search(r"[\w.]+@[\w-]+\.\w", r["text"]) for r in after.values())
+        if name == "toxicity":
+            model = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"), usable=~held_out(F.col("doc_id")))
+            assert set(after) == {i for i, r in before.items() if model.score(r["text"])[0] < toxicity.TOXIC_FROM}
         if name == "mixing":
-            assert after
+            cells = collections.Counter((r["source"], r["lang"]) for r in before.values())
+            assert set(after) < set(before) and len({(r["source"], r["lang"]) for r in after.values()}) > 0.7 * len(cells)
+        if name == "encoding":
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(queries.tokenizer_path())
+            assert set(after) == set(before) and all(after[i]["token_ids"] == tok.encode(r["text"], add_special_tokens=False).ids for i, r in before.items())
         now = out
     assert set(now.columns) == {"doc_id", "lang", "source", "token_ids", "n_tokens", "decoded_sha256"}
 
