@@ -1,12 +1,12 @@
 """Toxicity by the nearest labelled examples.
 
 Learning.  Up to PER_CLASS labelled documents of each class (the first by a hash of their id) are the examples.  Terms are a text's lower-case words
-and their prefixes of four to seven letters; those that at least a share of the toxic examples hold, and far more often than the others, make the
-vocabulary.  Examples become TF-IDF vectors over it, of length 1.
+and their prefixes of four to seven letters; all that two or more examples hold, of whichever class, make the vocabulary.  Examples become vectors of
+length 1 over it: TF-IDF, times FLOOR plus how far the term's share of toxic examples lies from that of the others (the absolute log of their ratio).
+No term is left out for its ratio and every example with a term of the vocabulary can be found.
 
-Search.  Examples lie in blocks of the inverted index; for each term the index keeps the largest weight in each block.  For a text, blocks are
-visited in falling order of the bound that these maxima give, and the search ends when the next bound is below the k-th best cosine, so the result is
-the exact k nearest.  A text without any term of the vocabulary has no neighbours.
+Search.  The cosine with every example is computed: terms that many examples hold as a matrix product over a batch of texts, the others by their inverted
+lists.  The result is the exact k nearest.  A text without any term of the vocabulary has no neighbours.
 
 Score.  Neighbours vote by cosine / (distance + SOFT), each class weighted to its share among all labelled documents, with a prior vote for these shares.  The votes of the examples, each
 judged without itself and its copies, are put in order by isotonic regression, which maps a vote to a probability; texts without neighbours get the
@@ -32,10 +32,12 @@ from boardlark.llm.shared import Scratch, arrow_pass
 
 #: Labelled documents of each class that are learned from, at most.
 PER_CLASS = 5000
-#: Terms in the vocabulary, at most (the most frequent among toxic examples first).
-TERMS = 5000
-#: A term must be in so many toxic examples, in this share of them, and so many times as often as in the others.
-LEAST, SHARE, TIMES = 8, 0.004, 12.0
+#: A term must be in so many examples; in one alone it can't bring it nearer to another.
+LEAST = 2
+#: Weight of a term that is as frequent in both classes, beside the absolute log ratio of the classes' shares.
+FLOOR = 0.5
+#: Terms that this share of the examples holds lie in a dense matrix, DENSE of them at most; and texts in one matrix product.
+OFTEN, DENSE, BATCH = 0.1, 400, 64
 #: Neighbours, examples in a block, softness of the distance weights, and examples shown as evidence.
 NEIGHBOURS, BLOCK, SOFT, SHOWN = 25, 64, 0.05, 3
 #: The weight of a vote for the shares of all labels, beside the neighbours'; far neighbours alone don't outweigh it.
@@ -76,8 +78,19 @@ class _Known(dict):
         return found
 
 
+def numbered(text: str | None, known: _Known) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a text's terms, ascending, and how often each occurs."""
+    n: Counter = Counter()
+    for word, times in Counter(_WORD((text or "").lower())).items():
+        for t in known[word]:
+            n[t] += times
+    terms = np.array(sorted(n), np.int64)
+    return terms, np.array([n[t] for t in terms.tolist()], np.int64)
+
+
 class BlockMaxIndex:
-    """Unit vectors by term, in blocks of BLOCK consecutive vectors."""
+    """Unit vectors by term, in blocks of BLOCK consecutive vectors.  For short vectors over few terms; Model's whole vectors are in WholeIndex, as sums
+    of maxima over hundreds of terms rule no block out and a table of term and block would outgrow a worker."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
@@ -113,6 +126,51 @@ class BlockMaxIndex:
         return ids[best], scores[best]
 
 
+class WholeIndex:
+    """Unit vectors over any number of terms; the cosine of a text with each of them."""
+
+    def __init__(self, term: np.ndarray, owner: np.ndarray, weight: np.ndarray, size: int, n_terms: int):
+        """Entries in ascending order of owner."""
+        self.size = size
+        held = np.bincount(term, minlength=n_terms)
+        often = np.argsort(-held, kind="stable")[:DENSE]
+        often = often[held[often] >= max(1.0, OFTEN * size)]
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), size))
+        at = self.row[term]
+        dense = np.flatnonzero(at >= 0)
+        self.dense[at[dense], owner[dense]] = weight[dense]
+        rest = np.flatnonzero(at < 0)
+        del at, dense
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        self.owner, self.weight = owner[rest].astype(np.int32), weight[rest]
+        self.edges = np.concatenate([[0], np.cumsum(np.where(self.row < 0, held, 0))])
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """A row for each query (terms, weights), a column for each vector."""
+        x = np.zeros((len(queries), len(self.dense)))
+        for k, (terms, weights) in enumerate(queries):
+            at = self.row[terms]
+            x[k, at[at >= 0]] = weights[at >= 0]
+        out = x @ self.dense
+        for own, (terms, weights) in zip(out, queries):
+            begin, n = self.edges[terms], self.edges[terms + 1] - self.edges[terms]
+            place = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            own += np.bincount(self.owner[place], np.repeat(weights, n) * self.weight[place], self.size)
+        return out
+
+    @staticmethod
+    def nearest(cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k vectors of the largest positive cosine and those cosines, larger first, then the smaller number."""
+        ids = np.arange(len(cosines))
+        if len(cosines) > k:  # all that may tie with the k-th after rounding stay
+            ids = np.flatnonzero(cosines >= np.partition(cosines, len(cosines) - k)[-k] - 1e-11)
+        ids = ids[cosines[ids] > 1e-12]
+        best = ids[np.lexsort((ids, -np.round(cosines[ids], 12)))][:k]
+        return best, cosines[best]
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float], list[float]]:
     """Weighted isotonic regression by pooling adjacent violators: (where each step begins, its value)."""
     steps: list[list[float]] = []
@@ -129,61 +187,63 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float],
 class Model:
     """The vocabulary, the index of the examples, their labels and the calibration."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], examples: list[tuple[int, int, dict[str, int], str]], shares: tuple[float, float]):
-        """vocabulary: terms with their inverse document frequency; examples: id, label, counts of vocabulary terms, a name of the text;
+    def __init__(self, words: list[str], weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray, str]], shares: tuple[float, float]):
+        """words, weight: the terms and their weights; examples: id, label, numbers of the terms held, how often each, a name of the text;
         shares: of labels 0 and 1 among all that may be learned from."""
-        self.vocabulary = {t: i for i, (t, _) in enumerate(vocabulary)}
-        self.idf = np.array([x for _, x in vocabulary])
+        self.vocabulary = {t: i for i, t in enumerate(words)}
+        self.weight = weight
         n = Counter(e[1] for e in examples)
         self.shares = shares
         self.class_weight = {c: shares[c] * len(examples) / n[c] if n[c] else 0.0 for c in (0, 1)}
-        held = []
-        for e in examples:
-            terms = np.array(sorted(self.vocabulary[t] for t in e[2] if t in self.vocabulary), np.int64)
-            if len(terms):
-                names = [vocabulary[t][0] for t in terms]
-                held.append((terms, self._weights(terms, np.array([e[2][t] for t in names])), e))
-        held.sort(key=lambda h: (int(h[0][np.argmax(h[1])]), h[2][0]))  # examples of one leading term share blocks
-        self.ids, self.labels = [h[2][0] for h in held], np.array([h[2][1] for h in held], np.int64)
+        held = [(int(e[2][np.argmax(self._weights(e[2], e[3]))]), e) for e in examples if len(e[2])]
+        held = [e for _, e in sorted(held, key=lambda h: (h[0], h[1][0]))]
+        self.ids, self.labels = [e[0] for e in held], np.array([e[1] for e in held], np.int64)
         self.votes_of = np.array([self.class_weight[c] for c in self.labels])
-        self.index = BlockMaxIndex([(t, w) for t, w, _ in held], len(vocabulary))
+        term = np.concatenate([e[2] for e in held] or [np.zeros(0, np.int32)])
+        owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(e[2]) for e in held])
+        weights = np.concatenate([self._weights(e[2], e[3]) for e in held] or [np.zeros(0)])
+        self.index = WholeIndex(term, owner, weights, len(held), len(words))
+        del term, owner, weights
         total = {c: sum(self.class_weight[c] for e in examples if e[1] == c) for c in (0, 1)}
         with_terms = {c: float(self.votes_of[self.labels == c].sum()) for c in (0, 1)}
         rest = {c: max(0.0, total[c] - with_terms[c]) for c in (0, 1)}
         self.empty = rest[1] / (rest[0] + rest[1]) if rest[0] + rest[1] > 0 else shares[1]
         copies: dict[str, list[int]] = {}
-        for i, h in enumerate(held):
-            copies.setdefault(h[2][3], []).append(i)
+        for i, e in enumerate(held):
+            copies.setdefault(e[4], []).append(i)
         raw = np.zeros(len(held))
-        for i, (t, w, e) in enumerate(held):
-            without = np.zeros(len(held), bool)
-            without[copies[e[3]]] = True
-            raw[i] = self._vote(*self.index.nearest(t, w, NEIGHBOURS, without))
+        for a in range(0, len(held), BATCH):
+            for i, cosines in enumerate(self.index.cosines([(e[2], self._weights(e[2], e[3])) for e in held[a : a + BATCH]]), a):
+                cosines[copies[held[i][4]]] = 0
+                raw[i] = self._vote(*self.index.nearest(cosines, NEIGHBOURS))
         self.starts, self.values = isotonic(np.round(raw, 6), self.labels.astype(float), self.votes_of)
         self._known = _Known(self.vocabulary)
 
     def _weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = (1 + np.log(counts)) * self.weight[terms]
         return w / np.sqrt((w * w).sum())
 
     def _vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         w = self.votes_of[ids] * cosines / (np.maximum(0, 1 - cosines) + SOFT)
         return float((w[self.labels[ids] == 1].sum() + PRIOR * self.shares[1]) / (w.sum() + PRIOR))
 
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        """The probability that each text is toxic, and its nearest examples as (id, label, cosine)."""
+        out: list = [(self.empty, [])] * len(texts)
+        if not self.starts:
+            return out
+        for a in range(0, len(texts), BATCH):
+            found = [numbered(text, self._known) for text in texts[a : a + BATCH]]
+            some = [k for k, (terms, _) in enumerate(found) if len(terms)]
+            for k, cosines in zip(some, self.index.cosines([(found[k][0], self._weights(*found[k])) for k in some])):
+                ids, near = self.index.nearest(cosines, NEIGHBOURS)
+                if len(ids):
+                    at = max(0, bisect_right(self.starts, round(self._vote(ids, near), 6)) - 1)
+                    out[a + k] = self.values[at], [(self.ids[i], int(self.labels[i]), float(c)) for i, c in zip(ids[:SHOWN], near)]
+        return out
+
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """The probability that a text is toxic, and the nearest examples as (id, label, cosine)."""
-        known, n = self._known, Counter()
-        for word, times in Counter(_WORD((text or "").lower())).items():
-            for t in known[word]:
-                n[t] += times
-        if not n:
-            return self.empty, []
-        terms = np.array(sorted(n), np.int64)
-        ids, cosines = self.index.nearest(terms, self._weights(terms, np.array([n[t] for t in terms.tolist()])), NEIGHBOURS)
-        if not len(ids) or not self.starts:
-            return self.empty, []
-        at = max(0, bisect_right(self.starts, round(self._vote(ids, cosines), 6)) - 1)
-        return self.values[at], [(self.ids[i], int(self.labels[i]), float(c)) for i, c in zip(ids[:SHOWN], cosines)]
+        return self.scores([text])[0]
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_known": None}
@@ -194,7 +254,7 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits the model.  Only examples' terms reach the driver: at most 2 * PER_CLASS rows and TERMS terms."""
+    """Fits the model.  Only examples' terms reach the driver, as numbers: those of at most 2 * PER_CLASS rows, and the vocabulary."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = (known.where(usable) if usable is not None else known).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -204,34 +264,44 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     first = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for c in (0, 1)]
     chosen = F.broadcast(scratch.table(first[0].union(first[1]), "chosen"))  # at most 2 * PER_CLASS rows of two numbers
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
+    texts = scratch.table(texts.withColumn("name", F.md5(F.coalesce("text", F.lit("")).cast("binary"))), "texts")
+    size = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.countDistinct("name").alias("n")).collect()}
+    if not size.get(0) or not size.get(1):
+        return Model([], np.zeros(0), [], shares)
 
     def make():
-        kind = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int32())]))
-
         def work(batch: pa.RecordBatch) -> dict:
-            return {"terms": pa.array([[{"term": t, "n": n} for t, n in counted(x).items()] for x in batch.column("text").to_pylist()], kind)}
+            return {"terms": pa.array([list(counted(x)) for x in batch.column("text").to_pylist()], pa.list_(pa.string()))}
 
         return work
 
-    kind = ArrayType(StructType([StructField("term", StringType()), StructField("n", IntegerType())]))
-    held = arrow_pass(texts.withColumn("name", F.md5(F.coalesce("text", F.lit("")).cast("binary"))), "text", ["doc_id", "label", "name"], StructType([StructField("terms", kind)]), make)
-    held = scratch.table(held, "terms")
-    size = {r["label"]: r["n"] for r in held.groupBy("label").agg(F.countDistinct("name").alias("n")).collect()}
-    if not size.get(0) or not size.get(1):
-        return Model([], [], shares)
     # Copies of a text count once.
-    one = held.dropDuplicates(["name", "label"]).select("label", F.explode("terms.term").alias("term"))
-    per = one.groupBy("term").agg(F.sum("label").alias("bad"), F.count("*").alias("all"))
-    rate = (F.col("bad") + 0.5) / (size[1] + 1) / ((F.col("all") - F.col("bad") + 0.5) / (size[0] + 1))
-    telling = per.where((F.col("bad") >= max(LEAST, SHARE * size[1])) & (rate >= TIMES)).orderBy(F.desc("bad"), "term").limit(TERMS)
-    total = size[0] + size[1]
-    vocabulary = [(r["term"], float(np.log((1 + total) / (1 + r["all"])) + 1)) for r in telling.collect()]
-    known_terms = F.broadcast(held.sparkSession.createDataFrame([(t,) for t, _ in vocabulary], "term string"))  # at most TERMS rows
-    met = held.select("doc_id", "name", F.explode("terms").alias("t")).select("doc_id", "name", "t.term", "t.n").join(known_terms, "term")
-    met = met.groupBy("doc_id", "name").agg(F.collect_list(F.struct("term", "n")).alias("terms"))
-    found = held.select("doc_id", "label", "name").distinct().join(met, ["doc_id", "name"], "left")
-    examples = [(r["doc_id"], r["label"], {t["term"]: t["n"] for t in r["terms"] or ()}, r["name"]) for r in found.orderBy("doc_id", "name").collect()]
-    return Model(vocabulary, examples, shares)
+    one = arrow_pass(texts.dropDuplicates(["name", "label"]), "text", ["label"], StructType([StructField("terms", ArrayType(StringType()))]), make)
+    per = one.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("bad"), F.count("*").alias("all"))
+    telling = per.where(F.col("all") >= LEAST).orderBy("term").toArrow()
+    words = telling.column("term").to_pylist()
+    bad, every = (telling.column(c).to_numpy().astype(float) for c in ("bad", "all"))
+    ratio = ((bad + 0.5) / (size[1] + 1)) / ((every - bad + 0.5) / (size[0] + 1))
+    weight = (np.log((1 + size[0] + size[1]) / (1 + every)) + 1) * (FLOOR + np.abs(np.log(ratio)))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def make_numbers():
+        vocabulary = _Known({t: i for i, t in enumerate(shared.value)})
+        kind = pa.list_(pa.int32())
+
+        def work(batch: pa.RecordBatch) -> dict:
+            found = [numbered(x, vocabulary) for x in batch.column("text").to_pylist()]
+            return {"terms": pa.array([t for t, _ in found], kind), "counts": pa.array([n for _, n in found], kind)}
+
+        return work
+
+    kind = ArrayType(IntegerType())
+    held = arrow_pass(texts, "text", ["doc_id", "label", "name"], StructType([StructField("terms", kind), StructField("counts", kind)]), make_numbers)
+    held = held.select("doc_id", "label", "name", "terms", "counts").distinct().toArrow()
+    columns = [held.column(c).to_pylist() for c in ("doc_id", "label", "name")]
+    examples = [(i, y, t.values.to_numpy(), c.values.to_numpy(), m) for i, y, m, t, c in zip(*columns, held.column("terms"), held.column("counts"))]
+    examples.sort(key=lambda e: (e[0], e[4]))
+    return Model(words, weight, examples, shares)
 
 
 def classify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -243,7 +313,7 @@ def classify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
         kind = pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
         def work(batch: pa.RecordBatch) -> dict:
-            scores, evidence = zip(*map(m.score, batch.column(text).to_pylist()))
+            scores, evidence = zip(*m.scores(batch.column(text).to_pylist()))
             rows = [[{"example": i, "label": y, "cosine": c} for i, y, c in e] for e in evidence]
             return {"score": pa.array(scores, pa.float64()), "evidence": pa.array(rows, kind)}
 

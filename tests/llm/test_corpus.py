@@ -124,6 +124,36 @@ def test_block_max_index_is_exact():
         assert ids.tolist() == [i for _, i in want] and np.allclose(scores, [-s for s, _ in want])
 
 
+def test_whole_index_is_exact(monkeypatch):
+    rng = np.random.default_rng(6)
+    dense = np.where(rng.random((300, 90)) < np.linspace(0.5, 0.02, 90), rng.random((300, 90)) + 0.1, 0)
+    dense /= np.maximum(1e-9, np.sqrt((dense**2).sum(1, keepdims=True)))
+    owner, term = np.nonzero(dense)
+    for often in (0.1, 2.0, 0.0):
+        monkeypatch.setattr(toxicity, "OFTEN", often)
+        index = toxicity.WholeIndex(term, owner, dense[owner, term], 300, 90)
+        queries_ = [(np.flatnonzero(v), v[v > 0]) for v in dense[:70]]
+        for v, own in zip(dense, index.cosines(queries_)):
+            full = dense @ v
+            want = sorted((-round(s, 12), i) for i, s in enumerate(full) if s > 0)[:10]
+            ids, scores = index.nearest(own, 10)
+            assert np.allclose(own, full) and ids.tolist() == [i for _, i in want] and np.allclose(scores, [-s for s, _ in want])
+
+
+def test_toxicity_finds_every_example(spark, sf, docs):
+    """All labelled examples can be found, over all terms that two of them hold, and insults in a small table are flagged."""
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = {r["doc_id"]: r for r in docs.withColumn("held", held_out(F.col("doc_id"))).collect()}
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"), usable=~held_out(F.col("doc_id")))
+    learnable = {i for i in labels if i in rows and not rows[i]["held"]}
+    texts = {rows[i]["text"]: set(toxicity.counted(rows[i]["text"])) for i in learnable}
+    n = collections.Counter(t for terms in texts.values() for t in terms)
+    assert set(model.vocabulary) == {t for t, k in n.items() if k >= 2}
+    assert set(model.ids) == {i for i in learnable if texts[rows[i]["text"]] & set(model.vocabulary)}
+    insults = [i for i, r in rows.items() if len(re.findall("idiot|disgusting|worthless|stupid|pathetic|scum|moron", (r["text"] or "").lower())) >= 3]
+    assert insults and all(model.score(rows[i]["text"])[0] >= toxicity.TOXIC_FROM for i in insults)
+
+
 def test_isotonic():
     starts, values = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]), np.ones(4))
     assert starts == [0.1, 0.2, 0.4] and values == [0.0, 0.5, 1.0]
