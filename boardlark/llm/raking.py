@@ -6,12 +6,16 @@ the expected tokens a share of all; a document's draw is a hash of its id, so th
 
 All of it is DataFrame expressions.  Only the cells, one row for each combination of labels that occurs, are ever brought together.
 
+With `whole`, probabilities themselves are fitted (fit_whole): cells capped at 1 are made up for by the others of their source, language and topic, and the
+budget is lowered where the targets can't be met at it, so that the expected sample has the target shares.  Without it, capped cells miss them.
+
 Cases: null labels are a value of their own; null and empty texts have no tokens and are kept, as they cost nothing; a null id is hashed as the empty
 string; an empty table gives no rows; where a marginal can't be met because a cell is empty or capped at 1, the nearest fit of the last round stands.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,16 +72,84 @@ def fit(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
     return cells.select(*[f"_{d}" for d in DIMENSIONS], "weight", "probability")
 
 
+def bounded(tokens: np.ndarray, groups: list[np.ndarray], shares: list[np.ndarray], budget: float, rounds: int = 300, near: float = 1e-4) -> np.ndarray | None:
+    """Probabilities of cells, such that in each dimension the expected tokens have the given shares (groups: each cell's value; shares: of each value,
+    which sum to 1).  The budget is the largest share of all tokens up to `budget` at which the fit is found; none is found where targets contradict."""
+    total, p = tokens.sum(), np.zeros(len(tokens))
+    members = [[np.flatnonzero(g == v) for v in range(len(a))] for g, a in zip(groups, shares)]
+    most = min([budget, *(tokens[m].sum() / (total * x) for ms, a in zip(members, shares) for m, x in zip(ms, a) if x > 0)])
+
+    def fill(w: np.ndarray, t: np.ndarray, want: float) -> np.ndarray:
+        """min(t, l * w) with l such that the sum is `want`, or all of t."""
+        order = np.argsort(np.where(w > 0, t / np.maximum(w, 1e-300), np.inf), kind="stable")
+        w, t = w[order], t[order]
+        left, rest = want - (np.cumsum(t) - t), np.cumsum(w[::-1])[::-1]
+        scale = np.divide(left, rest, out=np.zeros(len(w)), where=rest > 0)
+        fits = np.flatnonzero(scale * w <= t)
+        out = np.empty(len(w))
+        out[order] = np.minimum(t, max(0.0, scale[fits[0]]) * w) if len(fits) else t
+        return out
+
+    def at(b: float) -> np.ndarray | None:
+        w = tokens * b
+        for _ in range(rounds):
+            for ms, a in zip(members, shares):
+                for m, x in zip(ms, a):
+                    w[m] = fill(w[m], tokens[m], b * total * x)
+            if all(np.abs(np.bincount(g, w, len(a)) / (b * total) - a).max() <= near for g, a in zip(groups, shares)):
+                return w / tokens
+        return None
+
+    low, high = 0.0, most
+    found = at(high)
+    if found is not None:
+        return found
+    for _ in range(12):
+        middle = (low + high) / 2
+        found = at(middle)
+        if found is None:
+            high = middle
+        else:
+            low, p = middle, found
+    return p if low else None
+
+
+def fit_whole(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
+    """As fit(), with probabilities that keep the target shares.  The cells, one row each, are fitted on the driver.  Where targets contradict each other
+    fit() stands."""
+    names = [f"_{d}" for d in DIMENSIONS]
+    cells = docs.groupBy(*names).agg(F.sum("_tokens").alias("tokens"))
+    rows = cells.collect()
+    held = [r for r in rows if r["tokens"] > 0]
+    tokens = np.array([r["tokens"] for r in held], float)
+    groups, shares = [], []
+    for d in DIMENSIONS:
+        values, group = np.unique(np.array([r[f"_{d}"] for r in held], object), return_inverse=True) if held else (np.zeros(0, object), np.zeros(0, int))
+        if targets and d in targets:
+            want = {r["value"]: r["share"] for r in targets[d].collect()}
+            share = np.array([want.get(v, 0.0) for v in values], float)
+        else:
+            share = np.bincount(group, tokens, len(values)) ** POWER[d]
+        groups.append(group)
+        shares.append(share / share.sum() if share.sum() > 0 else share)
+    p = bounded(tokens, groups, shares, budget) if held else np.zeros(0)
+    if p is None:
+        return fit(docs, targets, budget)
+    out = [(*(r[n] for n in names), float(r["tokens"] * x), float(min(1.0, x))) for r, x in zip(held, p)]
+    out += [(*(r[n] for n in names), 0.0, 1.0) for r in rows if not r["tokens"]]
+    return docs.sparkSession.createDataFrame(out, ", ".join(f"{n} string" for n in names) + ", weight double, probability double")
+
+
 def draw(id_col: str, seed: str = SEED) -> Column:
     """A number in [0, 1) from the id, 52 bits of its hash."""
     text = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
-def mixed(df: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, topic: str = TOPIC, id_col: str = "doc_id") -> DataFrame:
-    """The columns of labelled(), weight, probability and selected of every row."""
+def mixed(df: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, topic: str = TOPIC, id_col: str = "doc_id", whole: bool = False) -> DataFrame:
+    """The columns of labelled(), weight, probability and selected of every row.  whole: probabilities of fit_whole()."""
     docs = labelled(df, topic)
-    cells = fit(docs, targets, budget)
+    cells = fit_whole(docs, targets, budget) if whole else fit(docs, targets, budget)
     return docs.join(cells, [f"_{d}" for d in DIMENSIONS]).withColumn("selected", draw(id_col) < F.col("probability"))
 
 

@@ -228,6 +228,21 @@ def test_raking_meets_targets(spark, sf, docs):
     assert expected == pytest.approx(raking.BUDGET * sum(r["_tokens"] for r in out), rel=0.02)
 
 
+def test_raking_whole_sample_has_the_target_shares(spark, docs, odd, empty):
+    out = raking.mixed(docs, whole=True).collect()
+    assert len(out) == docs.count() and all(0 <= r["probability"] <= 1 for r in out)
+    kept = sum(r["_tokens"] * r["probability"] for r in out)
+    assert 0 < kept <= (raking.BUDGET + 0.001) * sum(r["_tokens"] for r in out)
+    for d in raking.DIMENSIONS:
+        now, got = collections.Counter(), collections.Counter()
+        for r in out:
+            now[r[f"_{d}"]] += r["_tokens"]
+            got[r[f"_{d}"]] += r["_tokens"] * r["probability"]
+        all_ = sum(n ** raking.POWER[d] for n in now.values())
+        assert all(got[v] / kept == pytest.approx(n ** raking.POWER[d] / all_, abs=1e-3) for v, n in now.items())
+    assert raking.mixed(odd, whole=True).count() == odd.count() and raking.mixed(empty, whole=True).count() == 0
+
+
 def test_raking_odd_rows(odd, empty):
     out = raking.mixed(odd).collect()
     assert len(out) == odd.count() and all(r["selected"] for r in out if r["text"] in (None, ""))
