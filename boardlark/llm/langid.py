@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from boardlark.llm.shared import BATCH_BYTES, BATCH_ROWS, arrow_pass, sliced, utf8
+from boardlark.llm.shared import arrow_pass, sliced, utf8
 
 #: N-grams in a profile, for documents and languages.
 LENGTH = 400
@@ -105,9 +105,6 @@ class Profiles:
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", usable: Column | None = None, length: int = LENGTH) -> DataFrame:
     """The profiles as rows (lang, gram, rank), from all rows with a text and a language for which `usable` holds."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = (rows.where(usable) if usable is not None else rows).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     schema = StructType([StructField("lang", StringType()), StructField("gram", IntegerType()), StructField("n", LongType())])

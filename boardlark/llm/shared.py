@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,13 +15,14 @@ from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one Python step works on; bounds the memory of a worker.
 SLICE_BYTES = 1 << 20
-#: Rows and bytes that Spark puts in one Arrow batch.
-BATCH_ROWS = 1000
-BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the corpus.  Where its files give fewer splits than there are cores, its rows are dealt out to all cores, as most of what follows is
+    heavy on CPU; a table of more splits is read as it is, without a shuffle."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
 
 
 def held_out(doc_id: Column) -> Column:
@@ -28,13 +30,24 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, with underscores in front as long as a column has it (case aside); for columns that an operator adds for itself."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder under /tmp only where the session names none."""
+    """The folder that driver and executors share, from the session's spark.checkpoint.dir.  Where that is unset, a local session gets a folder of its
+    own machine; on a cluster there is none to choose, which is an error.  The session's settings stay as they are."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file:///tmp/checkpoints/boardlark"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return f"file://{tempfile.gettempdir()}/boardlark-{spark.sparkContext.applicationId}"
+    raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that the driver and all executors share")
 
 
 class Scratch:
@@ -63,6 +76,12 @@ class Scratch:
     def drop(self, name: str) -> None:
         self._fs.delete(self._open(f"{self.root}/{name}")[1], True)
 
+    def only(self, *names: str) -> None:
+        """Drops all tables but these, which a result still reads."""
+        for status in self._fs.listStatus(self._open(self.root)[1]):
+            if status.getPath().getName() not in names:
+                self._fs.delete(status.getPath(), True)
+
 
 def sliced(batches: Iterator[pa.RecordBatch], text: str | None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about `most` bytes of the text column; one longer row stands alone."""
@@ -83,9 +102,6 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str | None, most: int = SLIC
 def arrow_pass(df: DataFrame, text: str | None, keep: list[str], added: StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """One Arrow pass over the columns `keep` and `text`: make() is called once in each worker's task and gives a function from a batch to the
     added columns.  A kept column named like an added one gives way to it."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     new = set(added.names)
     kept = [c for c in keep if c not in new]
     source = df.select(*dict.fromkeys([*keep, *([text] if text else [])]))

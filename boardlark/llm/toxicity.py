@@ -1,19 +1,25 @@
 """Toxicity by the nearest labelled examples.
 
-Learning.  Up to PER_CLASS labelled documents of each class (the first by a hash of their id) are the examples.  Terms are a text's lower-case words
-and their prefixes of four to seven letters; all that two or more examples hold, of whichever class, make the vocabulary.  Examples become vectors of
-length 1 over it: TF-IDF, times FLOOR plus how far the term's share of toxic examples lies from that of the others (the absolute log of their ratio).
-No term is left out for its ratio and every example with a term of the vocabulary can be found.
-
-Search.  The cosine with every example is computed: terms that many examples hold as a matrix product over a batch of texts, the others by their inverted
-lists.  The result is the exact k nearest.  A text without any term of the vocabulary has no neighbours.
-
-Score.  Neighbours vote by cosine / (distance + SOFT), each class weighted to its share among all labelled documents, with a prior vote for these shares.  The votes of the examples, each
-judged without itself and its copies, are put in order by isotonic regression, which maps a vote to a probability; texts without neighbours get the
-share of toxic documents among the examples without any.  Evidence names the nearest examples.
-
-Cases: null and empty texts have no terms; without labels of both classes there are no examples and every score is the share of toxic labels, or 0;
-conflicting labels of one document count as toxic; ties in cosine go to the example that comes first.
+Learning.  Up to PER_CLASS labelled documents of each class (the first by a hash of their id) are the examples.  Terms are a text's lower-case words and
+their stems of STEM letters; all that two or more examples hold, of whichever class, make the vocabulary.  Examples become vectors of length 1 over it:
+(1 + log frequency) times the inverse document frequency, which is counted over all documents, times FLOOR plus the absolute log ratio of the term's
+shares of the two classes (delta TF-IDF, after Martineau and Finin, 2009).  No term is left out for its ratio, and every example that holds a term of
+the vocabulary can be found.
+
+Search.  A block-max inverted index gives the exact k nearest by cosine.  Lists of rare terms are added up; for a frequent term each block of examples has
+the largest weight within it, so that sum and maxima bound a block's cosines.  Blocks are read in falling order of that bound until it is below the
+k-th best; what may be among the k best is then computed again in full precision.  A text without any term of the vocabulary has no neighbours.
+
+Score.  Neighbours vote by cosine / (distance + SOFT), each class weighted to its share among all labelled documents, with a prior vote for these
+shares.  The votes of the examples, each judged without itself and its copies, are put in order by isotonic regression, and between the middles of its
+steps a vote's probability is interpolated; texts without neighbours get the share of toxic documents among the examples without any.  Evidence names the nearest
+examples.
+
+Cases: null and empty texts have no terms; very long texts are read whole, one at a time; without labels of both classes there are no examples and every
+score is the share of toxic labels, or 0; conflicting labels of one id count as toxic; an id with several texts gives one example, the text of the
+smallest digest; equal texts count once in the class shares; ties in cosine go to the example of the smaller id (as text); repeated rows are scored each; columns of the
+input may have any names (an added column takes the place of an equally named one, unless `score` and `evidence` are given other names); an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,25 +27,30 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from boardlark.llm.shared import Scratch, arrow_pass
+from boardlark.llm.shared import Scratch, arrow_pass, sliced
 
 #: Labelled documents of each class that are learned from, at most.
 PER_CLASS = 5000
 #: A term must be in so many examples; in one alone it can't bring it nearer to another.
 LEAST = 2
+#: Letters of a stem.
+STEM = 4
 #: Weight of a term that is as frequent in both classes, beside the absolute log ratio of the classes' shares.
 FLOOR = 0.5
-#: Terms that this share of the examples holds lie in a dense matrix, DENSE of them at most; and texts in one matrix product.
-OFTEN, DENSE, BATCH = 0.1, 400, 64
+#: Terms that more than this share of the examples hold are kept by block, DENSE of them at most; the others as lists.
+OFTEN, DENSE = 0.1, 1000
 #: Neighbours, examples in a block, softness of the distance weights, and examples shown as evidence.
 NEIGHBOURS, BLOCK, SOFT, SHOWN = 25, 64, 0.05, 3
+#: Single-precision sums may be off by less than this; what is so near to the k-th best is computed again.
+SLACK = 1e-5
 #: The weight of a vote for the shares of all labels, beside the neighbours'; far neighbours alone don't outweigh it.
 PRIOR = 2.0
 #: From this score on a document is predicted toxic.
@@ -50,8 +61,8 @@ _WORD = re.compile(r"[^\W\d_]+").findall
 
 
 def terms_of(word: str) -> list[str]:
-    """A word and its prefixes, marked as such."""
-    return [word, *(word[:k] + "*" for k in range(4, min(8, len(word))))]
+    """A word and its stem, marked as such."""
+    return [word, word[:STEM] + "*"] if len(word) > STEM else [word]
 
 
 def counted(text: str | None) -> Counter:
@@ -66,9 +77,9 @@ def counted(text: str | None) -> Counter:
 class _Known(dict):
     """Word to the numbers of its terms in the vocabulary."""
 
-    def __init__(self, vocabulary: dict[str, int]):
+    def __init__(self, words: list[str]):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary = {t: i for i, t in enumerate(words)}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         found = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
@@ -80,95 +91,93 @@ class _Known(dict):
 
 def numbered(text: str | None, known: _Known) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of a text's terms, ascending, and how often each occurs."""
-    n: Counter = Counter()
+    n: dict[int, int] = {}
     for word, times in Counter(_WORD((text or "").lower())).items():
         for t in known[word]:
-            n[t] += times
-    terms = np.array(sorted(n), np.int64)
-    return terms, np.array([n[t] for t in terms.tolist()], np.int64)
+            n[t] = n.get(t, 0) + times
+    terms, counts = np.fromiter(n.keys(), np.int64, len(n)), np.fromiter(n.values(), np.int64, len(n))
+    order = np.argsort(terms)
+    return terms[order], counts[order]
 
 
-class BlockMaxIndex:
-    """Unit vectors by term, in blocks of BLOCK consecutive vectors.  For short vectors over few terms; Model's whole vectors are in WholeIndex, as sums
-    of maxima over hundreds of terms rule no block out and a table of term and block would outgrow a worker."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
-        owner = np.repeat(np.arange(self.size), [len(v[0]) for v in vectors])
-        weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
-        order = np.lexsort((owner, term))
-        self.owner, self.weight, term = owner[order], weight[order], term[order]
-        self.edges = np.searchsorted(term * max(1, self.blocks) + self.owner // BLOCK, np.arange(n_terms * self.blocks + 1))
-        self.most = np.zeros((n_terms, max(1, self.blocks)))
-        np.maximum.at(self.most, (term, self.owner // BLOCK), self.weight)
+def _spans(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places begin[0] ... begin[0] + n[0] - 1, begin[1] ..., in a row."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k vectors of the largest positive cosine and those cosines, larger first, then the smaller number.  `without`: a mask of vectors left out."""
-        bound = weights @ self.most[terms]
-        ids, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(ids) == k and bound[b] < least - 1e-12):
-                break
-            own = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                at = slice(self.edges[t * self.blocks + b], self.edges[t * self.blocks + b + 1])
-                own[self.owner[at] - b * BLOCK] += w * self.weight[at]
-            hit = np.flatnonzero(own > 0)
-            if without is not None:
-                hit = hit[~without[hit + b * BLOCK]]
-            ids, scores = np.concatenate([ids, hit + b * BLOCK]), np.concatenate([scores, own[hit]])
-            if len(ids) >= k:
-                best = np.lexsort((ids, -np.round(scores, 12)))[:k]
-                ids, scores = ids[best], scores[best]
-                least = scores[-1]
-        best = np.lexsort((ids, -np.round(scores, 12)))
-        return ids[best], scores[best]
-
-
-class WholeIndex:
-    """Unit vectors over any number of terms; the cosine of a text with each of them."""
-
-    def __init__(self, term: np.ndarray, owner: np.ndarray, weight: np.ndarray, size: int, n_terms: int):
-        """Entries in ascending order of owner."""
-        self.size = size
+
+class BlockMaxIndex:
+    """Vectors with positive weights, in blocks of BLOCK consecutive ones, for the exact nearest by cosine."""
+
+    def __init__(self, term: np.ndarray, owner: np.ndarray, weight: np.ndarray, size: int, n_terms: int, rank: np.ndarray | None = None):
+        """Entries (term, owner, weight) in ascending order of owner, each vector of length 1.  rank: an order of the vectors for ties, their number by default."""
+        self.size, self.blocks, self.n_terms = size, -(-size // BLOCK), n_terms
+        self.rank = np.arange(size) if rank is None else rank
+        self.term, self.value = term.astype(np.int32), weight
+        self.starts = np.searchsorted(owner, np.arange(size + 1))
         held = np.bincount(term, minlength=n_terms)
         often = np.argsort(-held, kind="stable")[:DENSE]
-        often = often[held[often] >= max(1.0, OFTEN * size)]
+        often = often[held[often] > OFTEN * size]
         self.row = np.full(n_terms, -1, np.int32)
         self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), size))
-        at = self.row[term]
-        dense = np.flatnonzero(at >= 0)
-        self.dense[at[dense], owner[dense]] = weight[dense]
-        rest = np.flatnonzero(at < 0)
-        del at, dense
+        rest = np.flatnonzero(self.row[term] < 0)
         rest = rest[np.argsort(term[rest], kind="stable")]
-        self.owner, self.weight = owner[rest].astype(np.int32), weight[rest]
+        self.owner, self.weight = owner[rest].astype(np.int32), weight[rest].astype(np.float32)
         self.edges = np.concatenate([[0], np.cumsum(np.where(self.row < 0, held, 0))])
+        self.most = np.zeros((len(often), self.blocks), np.float32)
+        at = np.flatnonzero(self.row[term] >= 0)
+        np.maximum.at(self.most, (self.row[term[at]], owner[at] // BLOCK), weight[at].astype(np.float32))
+        self._ready = False
+
+    def _prepare(self) -> None:
+        """The frequent terms' weights by block, and a row for a query; made where the index is used, so that it travels without them."""
+        owner = np.repeat(np.arange(self.size), np.diff(self.starts))
+        at = np.flatnonzero(self.row[self.term] >= 0)
+        dense = np.zeros((self.blocks * BLOCK, len(self.most)), np.float32)
+        dense[owner[at], self.row[self.term[at]]] = self.value[at]
+        self.dense, self.query, self._ready = dense.reshape(self.blocks, BLOCK, -1), np.zeros(self.n_terms), True
+
+    def exact(self, ids: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The cosines with these vectors in full precision."""
+        self.query[terms] = weights
+        n = self.starts[ids + 1] - self.starts[ids]
+        at = _spans(self.starts[ids], n)
+        product = self.query[self.term[at]] * self.value[at]
+        self.query[terms] = 0
+        return np.add.reduceat(product, np.cumsum(n) - n) if len(ids) else np.zeros(0)
 
-    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """A row for each query (terms, weights), a column for each vector."""
-        x = np.zeros((len(queries), len(self.dense)))
-        for k, (terms, weights) in enumerate(queries):
-            at = self.row[terms]
-            x[k, at[at >= 0]] = weights[at >= 0]
-        out = x @ self.dense
-        for own, (terms, weights) in zip(out, queries):
-            begin, n = self.edges[terms], self.edges[terms + 1] - self.edges[terms]
-            place = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            own += np.bincount(self.owner[place], np.repeat(weights, n) * self.weight[place], self.size)
-        return out
-
-    @staticmethod
-    def nearest(cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k vectors of the largest positive cosine and those cosines, larger first, then the smaller number."""
-        ids = np.arange(len(cosines))
-        if len(cosines) > k:  # all that may tie with the k-th after rounding stay
-            ids = np.flatnonzero(cosines >= np.partition(cosines, len(cosines) - k)[-k] - 1e-11)
-        ids = ids[cosines[ids] > 1e-12]
-        best = ids[np.lexsort((ids, -np.round(cosines[ids], 12)))][:k]
-        return best, cosines[best]
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k vectors of the largest positive cosine and those cosines, larger first, then by rank.  without: numbers of vectors left out."""
+        if not self._ready:
+            self._prepare()
+        row = self.row[terms]
+        rare, dense = terms[row < 0], row[row >= 0]
+        n = self.edges[rare + 1] - self.edges[rare]
+        place = _spans(self.edges[rare], n)
+        part = np.bincount(self.owner[place], np.repeat(weights[row < 0], n) * self.weight[place], self.blocks * BLOCK).astype(float)
+        if without is not None:
+            part[without] = -np.inf
+        part = part.reshape(self.blocks, BLOCK)
+        x = np.zeros(len(self.most), np.float32)
+        x[dense] = weights[row >= 0]
+        bound = part.max(1, initial=0.0) + x[dense] @ self.most[dense]
+        ids, near, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        for b in np.argsort(-bound, kind="stable"):
+            if bound[b] <= 0 or bound[b] < least - 2 * SLACK:
+                break
+            own = part[b] + self.dense[b] @ x
+            hit = np.flatnonzero((own > 0) & (own >= least - 2 * SLACK))
+            if len(hit):
+                ids, near = np.concatenate([ids, b * BLOCK + hit]), np.concatenate([near, own[hit]])
+                if len(near) >= k:
+                    least = max(least, np.partition(near, len(near) - k)[len(near) - k])
+        ids = ids[near >= least - 2 * SLACK]
+        cosines = self.exact(ids, terms, weights)
+        best = np.lexsort((self.rank[ids], -np.round(cosines, 12)))
+        best = best[cosines[best] > 1e-12][:k]
+        return ids[best], cosines[best]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "query")} | {"_ready": False}
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float], list[float]]:
@@ -184,90 +193,145 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float],
     return [s[0] for s in steps], [s[1] / s[2] for s in steps]
 
 
-class Model:
-    """The vocabulary, the index of the examples, their labels and the calibration."""
+class Voter:
+    """The vocabulary, the index of the examples and their labels; gives a text's neighbours and their vote."""
 
-    def __init__(self, words: list[str], weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray, str]], shares: tuple[float, float]):
+    def __init__(self, words: list[str], weight: np.ndarray, examples: list[tuple[str, int, np.ndarray, np.ndarray, str]], shares: tuple[float, float]):
         """words, weight: the terms and their weights; examples: id, label, numbers of the terms held, how often each, a name of the text;
         shares: of labels 0 and 1 among all that may be learned from."""
-        self.vocabulary = {t: i for i, t in enumerate(words)}
-        self.weight = weight
+        self.words, self.weight, self.shares = words, weight, shares
         n = Counter(e[1] for e in examples)
-        self.shares = shares
         self.class_weight = {c: shares[c] * len(examples) / n[c] if n[c] else 0.0 for c in (0, 1)}
-        held = [(int(e[2][np.argmax(self._weights(e[2], e[3]))]), e) for e in examples if len(e[2])]
-        held = [e for _, e in sorted(held, key=lambda h: (h[0], h[1][0]))]
+        held = [e for e in examples if len(e[2])]
+        self.bare = {c: self.class_weight[c] * sum(e[1] == c and not len(e[2]) for e in examples) for c in (0, 1)}
+        frequent = np.bincount(np.concatenate([e[2] for e in held] or [np.zeros(0, np.int64)]), minlength=len(words)) > OFTEN * len(held)
+        # Examples alike stand side by side, so that a block's maxima are near its members' weights; the order changes no result.
+        held = sorted(held, key=lambda e: (e[1], self._heaviest(e, frequent), len(e[2]), e[0]))
         self.ids, self.labels = [e[0] for e in held], np.array([e[1] for e in held], np.int64)
-        self.votes_of = np.array([self.class_weight[c] for c in self.labels])
-        term = np.concatenate([e[2] for e in held] or [np.zeros(0, np.int32)])
-        owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(e[2]) for e in held])
-        weights = np.concatenate([self._weights(e[2], e[3]) for e in held] or [np.zeros(0)])
-        self.index = WholeIndex(term, owner, weights, len(held), len(words))
-        del term, owner, weights
-        total = {c: sum(self.class_weight[c] for e in examples if e[1] == c) for c in (0, 1)}
-        with_terms = {c: float(self.votes_of[self.labels == c].sum()) for c in (0, 1)}
-        rest = {c: max(0.0, total[c] - with_terms[c]) for c in (0, 1)}
-        self.empty = rest[1] / (rest[0] + rest[1]) if rest[0] + rest[1] > 0 else shares[1]
-        copies: dict[str, list[int]] = {}
+        rank = np.empty(len(held), np.int64)
+        rank[sorted(range(len(held)), key=self.ids.__getitem__)] = np.arange(len(held))
+        self.copies: dict[str, list[int]] = {}
         for i, e in enumerate(held):
-            copies.setdefault(e[4], []).append(i)
-        raw = np.zeros(len(held))
-        for a in range(0, len(held), BATCH):
-            for i, cosines in enumerate(self.index.cosines([(e[2], self._weights(e[2], e[3])) for e in held[a : a + BATCH]]), a):
-                cosines[copies[held[i][4]]] = 0
-                raw[i] = self._vote(*self.index.nearest(cosines, NEIGHBOURS))
-        self.starts, self.values = isotonic(np.round(raw, 6), self.labels.astype(float), self.votes_of)
-        self._known = _Known(self.vocabulary)
-
-    def _weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+            self.copies.setdefault(e[4], []).append(i)
+        term = np.concatenate([e[2] for e in held] or [np.zeros(0, np.int64)])
+        owner = np.repeat(np.arange(len(held)), [len(e[2]) for e in held])
+        self.index = BlockMaxIndex(term, owner, np.concatenate([self.weights(e[2], e[3]) for e in held] or [np.zeros(0)]), len(held), len(words), rank)
+        self._known: _Known | None = None
+
+    def _heaviest(self, e: tuple, frequent: np.ndarray) -> int:
+        at = np.flatnonzero(frequent[e[2]])
+        return int(e[2][at][np.argmax(self.weights(e[2], e[3])[at])]) if len(at) else -1
+
+    def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.weight[terms]
         return w / np.sqrt((w * w).sum())
 
-    def _vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
-        w = self.votes_of[ids] * cosines / (np.maximum(0, 1 - cosines) + SOFT)
-        return float((w[self.labels[ids] == 1].sum() + PRIOR * self.shares[1]) / (w.sum() + PRIOR))
-
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int, float]]]]:
-        """The probability that each text is toxic, and its nearest examples as (id, label, cosine)."""
-        out: list = [(self.empty, [])] * len(texts)
-        if not self.starts:
-            return out
-        for a in range(0, len(texts), BATCH):
-            found = [numbered(text, self._known) for text in texts[a : a + BATCH]]
-            some = [k for k, (terms, _) in enumerate(found) if len(terms)]
-            for k, cosines in zip(some, self.index.cosines([(found[k][0], self._weights(*found[k])) for k in some])):
-                ids, near = self.index.nearest(cosines, NEIGHBOURS)
-                if len(ids):
-                    at = max(0, bisect_right(self.starts, round(self._vote(ids, near), 6)) - 1)
-                    out[a + k] = self.values[at], [(self.ids[i], int(self.labels[i]), float(c)) for i, c in zip(ids[:SHOWN], near)]
-        return out
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        return self.scores([text])[0]
+    def neighbours(self, text: str | None, without: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the nearest examples and their cosines.  without: the name of a text whose examples are left out."""
+        self._known = self._known or _Known(self.words)
+        terms, counts = numbered(text, self._known)
+        if not len(terms) or not self.ids:
+            return np.zeros(0, np.int64), np.zeros(0)
+        return self.index.nearest(terms, self.weights(terms, counts), NEIGHBOURS, self.copies.get(without) if without else None)
+
+    def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
+        toxic = self.labels[ids] == 1
+        w = np.where(toxic, self.class_weight[1], self.class_weight[0]) * cosines / (np.maximum(0, 1 - cosines) + SOFT)
+        return round(float((w[toxic].sum() + PRIOR * self.shares[1]) / (w.sum() + PRIOR)), 9)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_known": None}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self._known = _Known(self.vocabulary)
+
+class Model:
+    """A voter, and the probability that its votes stand for."""
+
+    def __init__(self, share: float, voter: Voter | None = None, shared=None, votes: list[tuple[int, float, bool]] = ()):
+        """share: of toxic labels; shared: the voter as a broadcast; votes: of each example its label, its vote, whether it had neighbours."""
+        self.share, self.voter, self.shared = share, voter, shared
+        near = [(y, v) for y, v, met in votes if met]
+        bare = Counter(y for y, _, met in votes if not met)
+        bare = {c: bare[c] * voter.class_weight[c] for c in (0, 1)} if voter else {0: 0.0, 1: 0.0}
+        self.empty = (bare[1] + PRIOR * share) / (bare[0] + bare[1] + PRIOR)
+        y, x = np.array([a for a, _ in near], float), np.array([b for _, b in near], float)
+        w = np.array([voter.class_weight[int(a)] for a in y]) if voter else y
+        starts, values = isotonic(x, y, w)
+        ends = [*starts[1:], float(x.max())] if starts else []
+        self.centres, self.values = [(a + b) / 2 for a, b in zip(starts, ends)], values
+
+    def probability(self, vote: float) -> float:
+        """Interpolated between the middles of the steps."""
+        k = bisect_right(self.centres, vote)
+        if k == 0 or k == len(self.centres):
+            return self.values[min(k, len(self.values) - 1)]
+        a, b = self.centres[k - 1], self.centres[k]
+        p, q = self.values[k - 1], self.values[k]
+        return round(p + (q - p) * (vote - a) / (b - a), 9)
+
+    def scorer(self):
+        """A function from a text to the probability that it is toxic, and its nearest examples as (id, label, cosine).  It holds no voter itself."""
+        shared, empty, centres = self.shared, self.empty if self.voter else self.share, self.centres
+        probability = self.probability if centres else None
+        if not centres:
+            return lambda text: (empty, [])
+        light = Model.__new__(Model)
+        light.centres, light.values = self.centres, self.values
+        probability = light.probability
+
+        def score(text: str | None) -> tuple[float, list[tuple[str, int, float]]]:
+            voter = shared.value
+            ids, near = voter.neighbours(text)
+            if not len(ids):
+                return empty, []
+            return probability(voter.vote(ids, near)), [(voter.ids[i], int(voter.labels[i]), float(c)) for i, c in zip(ids[:SHOWN], near)]
+
+        return score
+
+    def score(self, text: str | None) -> tuple[float, list[tuple[str, int, float]]]:
+        return self.scorer()(text)
+
+
+def document_frequencies(docs: DataFrame, text: str, words: list[str], shared) -> tuple[int, np.ndarray]:
+    """The number of rows, and in how many each term of the vocabulary occurs.  Each task adds up its rows; one row for each term and task is shuffled."""
+    schema = StructType([StructField("term", IntegerType()), StructField("n", LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rows = _Known(shared.value), 0
+        total = np.zeros(len(shared.value), np.int64)
+        for batch in sliced(batches, "text"):
+            for t in batch.column("text").to_pylist():
+                rows += 1
+                met: set[int] = set()
+                for word in set(_WORD((t or "").lower())):
+                    met.update(known[word])
+                total[np.fromiter(met, np.int64, len(met))] += 1
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([rows, *total[some]], pa.int64())], schema.names)
+
+    found = docs.select(F.col(text).alias("text")).mapInArrow(count, schema).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(words) + 1, np.int64)
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return int(out[-1]), out[:-1]
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits the model.  Only examples' terms reach the driver, as numbers: those of at most 2 * PER_CLASS rows, and the vocabulary."""
+    """Fits the model.  `usable` is a condition on the labels' rows.  Of the examples only the terms reach the driver, as numbers: those of at most
+    2 * PER_CLASS texts, and the vocabulary with its document frequencies."""
+    context = docs.sparkSession.sparkContext
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    known = (known.where(usable) if usable is not None else known).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = (known.where(usable) if usable is not None else known).groupBy(F.col(id_col).cast("string").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     known = scratch.table(known, "labels")
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     shares = (n.get(0, 0) / max(1, sum(n.values())), n.get(1, 0) / max(1, sum(n.values())))
     first = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for c in (0, 1)]
-    chosen = F.broadcast(scratch.table(first[0].union(first[1]), "chosen"))  # at most 2 * PER_CLASS rows of two numbers
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
-    texts = scratch.table(texts.withColumn("name", F.md5(F.coalesce("text", F.lit("")).cast("binary"))), "texts")
+    chosen = F.broadcast(scratch.table(first[0].union(first[1]), "chosen"))  # at most 2 * PER_CLASS rows of two short values
+    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "doc_id")
+    texts = texts.withColumn("name", F.md5(F.col("text").cast("binary"))).groupBy("doc_id").agg(F.min_by(F.struct("label", "name", "text"), F.struct("name", "label")).alias("e"))
+    texts = scratch.table(texts.select("doc_id", "e.*"), "texts")
     size = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.countDistinct("name").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
-        return Model([], np.zeros(0), [], shares)
+        return Model(shares[1])
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
@@ -281,13 +345,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     telling = per.where(F.col("all") >= LEAST).orderBy("term").toArrow()
     words = telling.column("term").to_pylist()
     bad, every = (telling.column(c).to_numpy().astype(float) for c in ("bad", "all"))
+    shared = context.broadcast(words)
+    rows, frequency = document_frequencies(docs, text_col, words, shared)
     ratio = ((bad + 0.5) / (size[1] + 1)) / ((every - bad + 0.5) / (size[0] + 1))
-    weight = (np.log((1 + size[0] + size[1]) / (1 + every)) + 1) * (FLOOR + np.abs(np.log(ratio)))
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    weight = np.log((1 + rows) / (0.5 + np.maximum(1, frequency))) * (FLOOR + np.abs(np.log(ratio)))
 
     def make_numbers():
-        vocabulary = _Known({t: i for i, t in enumerate(shared.value)})
-        kind = pa.list_(pa.int32())
+        vocabulary, kind = _Known(shared.value), pa.list_(pa.int32())
 
         def work(batch: pa.RecordBatch) -> dict:
             found = [numbered(x, vocabulary) for x in batch.column("text").to_pylist()]
@@ -297,27 +361,38 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
 
     kind = ArrayType(IntegerType())
     held = arrow_pass(texts, "text", ["doc_id", "label", "name"], StructType([StructField("terms", kind), StructField("counts", kind)]), make_numbers)
-    held = held.select("doc_id", "label", "name", "terms", "counts").distinct().toArrow()
+    held = held.select("doc_id", "label", "name", "terms", "counts").toArrow()
     columns = [held.column(c).to_pylist() for c in ("doc_id", "label", "name")]
-    examples = [(i, y, t.values.to_numpy(), c.values.to_numpy(), m) for i, y, m, t, c in zip(*columns, held.column("terms"), held.column("counts"))]
-    examples.sort(key=lambda e: (e[0], e[4]))
-    return Model(words, weight, examples, shares)
+    voter = Voter(words, weight, [(i, y, t.values.to_numpy(), c.values.to_numpy(), m) for i, y, m, t, c in zip(*columns, held.column("terms"), held.column("counts"))], shares)
+    del held, columns, telling
+    shared.unpersist()
+    shared = context.broadcast(voter)
+
+    def make_votes():
+        def work(batch: pa.RecordBatch) -> dict:
+            found = [shared.value.neighbours(t, m) for t, m in zip(batch.column("text").to_pylist(), batch.column("name").to_pylist())]
+            return {"vote": pa.array([shared.value.vote(*f) for f in found], pa.float64()), "met": pa.array([len(f[0]) > 0 for f in found], pa.bool_())}
+
+        return work
+
+    votes = arrow_pass(texts, "text", ["doc_id", "label", "name"], StructType([StructField("vote", DoubleType()), StructField("met", BooleanType())]), make_votes)
+    votes = votes.select("doc_id", "label", "vote", "met").toArrow()  # at most 2 * PER_CLASS rows
+    return Model(shares[1], voter, shared, list(zip(*(votes.column(c).to_pylist() for c in ("label", "vote", "met")))))
 
 
-def classify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def classify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, score: str = "score", evidence: str = "evidence") -> DataFrame:
     """The kept columns (all by default), score and evidence (the nearest examples as id, label and cosine)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    of = model.scorer()
 
     def make():
-        m = shared.value
-        kind = pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+        kind = pa.list_(pa.struct([("example", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
         def work(batch: pa.RecordBatch) -> dict:
-            scores, evidence = zip(*m.scores(batch.column(text).to_pylist()))
-            rows = [[{"example": i, "label": y, "cosine": c} for i, y, c in e] for e in evidence]
-            return {"score": pa.array(scores, pa.float64()), "evidence": pa.array(rows, kind)}
+            scores, found = zip(*map(of, batch.column(text).to_pylist()))
+            rows = [[{"example": i, "label": y, "cosine": c} for i, y, c in e] for e in found]
+            return {score: pa.array(scores, pa.float64()), evidence: pa.array(rows, kind)}
 
         return work
 
-    shown = ArrayType(StructType.fromDDL("example bigint, label int, cosine double"))
-    return arrow_pass(df, text, df.columns if keep is None else keep, StructType([StructField("score", DoubleType()), StructField("evidence", shown)]), make)
+    shown = ArrayType(StructType.fromDDL("example string, label int, cosine double"))
+    return arrow_pass(df, text, df.columns if keep is None else keep, StructType([StructField(score, DoubleType()), StructField(evidence, shown)]), make)

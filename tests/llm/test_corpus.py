@@ -1,8 +1,10 @@
 """Operators that look across documents: near copies, toxicity, rollups, mixing, and the pipeline."""
 
 import collections
+import decimal
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -105,53 +107,92 @@ def test_components_of_a_path(spark):
     assert {out[k] for k in range(n)} == {0} and out[101] == 100
 
 
-def test_block_max_index_is_exact():
-    rng = np.random.default_rng(4)
-    vectors = []
-    for _ in range(500):
-        t = np.sort(rng.choice(40, rng.integers(1, 8), replace=False))
-        w = rng.random(len(t)) + 0.1
-        vectors.append((t.astype(np.int64), w / np.sqrt((w * w).sum())))
-    index = toxicity.BlockMaxIndex(vectors, 40)
-    dense = np.zeros((500, 40))
-    for k, (t, w) in enumerate(vectors):
-        dense[k, t] = w
-    for k in range(60):
-        t, w = vectors[k]
-        ids, scores = index.nearest(t, w, 10)
-        full = dense[:, t] @ w
-        want = sorted((-round(s, 12), i) for i, s in enumerate(full) if s > 0)[:10]
-        assert ids.tolist() == [i for _, i in want] and np.allclose(scores, [-s for s, _ in want])
-
-
-def test_whole_index_is_exact(monkeypatch):
+def test_block_max_index_is_exact(monkeypatch):
     rng = np.random.default_rng(6)
     dense = np.where(rng.random((300, 90)) < np.linspace(0.5, 0.02, 90), rng.random((300, 90)) + 0.1, 0)
+    dense[150:160] = dense[40:50]  # ties
     dense /= np.maximum(1e-9, np.sqrt((dense**2).sum(1, keepdims=True)))
     owner, term = np.nonzero(dense)
-    for often in (0.1, 2.0, 0.0):
+    rank = rng.permutation(300)
+    for often, block in ((0.1, 64), (2.0, 16), (0.0, 7)):
         monkeypatch.setattr(toxicity, "OFTEN", often)
-        index = toxicity.WholeIndex(term, owner, dense[owner, term], 300, 90)
-        queries_ = [(np.flatnonzero(v), v[v > 0]) for v in dense[:70]]
-        for v, own in zip(dense, index.cosines(queries_)):
-            full = dense @ v
-            want = sorted((-round(s, 12), i) for i, s in enumerate(full) if s > 0)[:10]
-            ids, scores = index.nearest(own, 10)
-            assert np.allclose(own, full) and ids.tolist() == [i for _, i in want] and np.allclose(scores, [-s for s, _ in want])
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        index = toxicity.BlockMaxIndex(term, owner, dense[owner, term], 300, 90, rank)
+        for k, v in enumerate(dense[:70]):
+            full, out = dense @ v, [k, 299 - k]
+            for without in (None, out):
+                want = sorted((-round(s, 12), rank[i], i) for i, s in enumerate(full) if s > 0 and not (without and i in out))[:10]
+                ids, scores = index.nearest(np.flatnonzero(v), v[v > 0], 10, without)
+                assert ids.tolist() == [i for *_, i in want] and np.allclose(scores, [-s for s, *_ in want])
+
+
+def plain_toxicity(docs, labels):
+    """Scores and evidence by dense cosines with every example, from the definitions alone; docs: {id: text}, labels: {id: label}."""
+    def terms(text):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        return collections.Counter(words + [w[:4] + "*" for w in words if len(w) > 4])
+
+    held_out_id = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learnable = {i: y for i, y in labels.items() if not held_out_id(i)}
+    share = sum(learnable.values()) / len(learnable)
+    examples = sorted((str(i), y, docs[i]) for i, y in learnable.items() if i in docs)
+    own = {t: terms(t) for t in docs.values()}
+    one = {(t, y) for _, y, t in examples}
+    n = {c: sum(y == c for _, y in one) for c in (0, 1)}
+    held = {c: collections.Counter(w for t, y in one if y == c for w in own[t]) for c in (0, 1)}
+    vocabulary = sorted(w for w in {*held[0], *held[1]} if held[0][w] + held[1][w] >= 2)
+    frequency = collections.Counter(w for t in docs.values() for w in own[t])
+    factor = {w: np.log((1 + len(docs)) / (0.5 + frequency[w])) * (0.5 + abs(np.log(((held[1][w] + 0.5) / (n[1] + 1)) / ((held[0][w] + 0.5) / (n[0] + 1))))) for w in vocabulary}
+
+    def vector(text):
+        v = np.array([(1 + np.log(own[text][w])) * factor[w] if own[text][w] else 0 for w in vocabulary])
+        return v / np.sqrt((v * v).sum()) if v.any() else v
+
+    matrix, y = np.stack([vector(t) for *_, t in examples]), np.array([e[1] for e in examples])
+    weight = np.array([1 - share, share]) * len(y) / np.bincount(y, minlength=2)
+
+    def vote(text, skip=False):
+        c = matrix @ vector(text)
+        if skip:
+            c[[k for k, e in enumerate(examples) if e[2] == text]] = 0
+        near = [k for k in np.lexsort((np.arange(len(c)), -np.round(c, 12))) if c[k] > 1e-12][:25]
+        w = weight[y[near]] * c[near] / (np.maximum(0, 1 - c[near]) + 0.05)
+        return near, c, round(float(((w * y[near]).sum() + 2 * share) / (w.sum() + 2)), 9)
+
+    votes = [vote(t, True) for *_, t in examples]
+    met = [k for k, v in enumerate(votes) if v[0]]
+    starts, values = toxicity.isotonic(np.array([votes[k][2] for k in met]), y[met].astype(float), weight[y[met]])
+    centres = (np.array(starts) + np.array([*starts[1:], max(votes[k][2] for k in met)])) / 2
+    out = {}
+    for i, t in docs.items():
+        near, c, v = vote(t)
+        out[i] = float(np.interp(v, centres, values)), [(examples[k][0], int(y[k]), c[k]) for k in near[:3]]
+    return out
+
+
+def test_toxicity_equals_dense_brute_force(spark, sf, docs):
+    """Every score and all evidence of the query, and that every document that shares a term with an example has neighbours."""
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = plain_toxicity(texts, labels)
+    got = {r["doc_id"]: r for r in queries.op3_toxicity(spark, sf).collect()}
+    assert set(got) == set(want)
+    for i, (score, near) in want.items():
+        assert got[i]["score"] == pytest.approx(score, abs=1e-6), i
+        assert got[i]["evidence"] == ",".join(f"{e}:{y}:{spark_round(c)}" for e, y, c in near), i
+    assert len({r["score"] for r in got.values()}) > 50 and all(r["evidence"] for r in got.values())
 
 
-def test_toxicity_finds_every_example(spark, sf, docs):
-    """All labelled examples can be found, over all terms that two of them hold, and insults in a small table are flagged."""
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    rows = {r["doc_id"]: r for r in docs.withColumn("held", held_out(F.col("doc_id"))).collect()}
-    model = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"), usable=~held_out(F.col("doc_id")))
-    learnable = {i for i in labels if i in rows and not rows[i]["held"]}
-    texts = {rows[i]["text"]: set(toxicity.counted(rows[i]["text"])) for i in learnable}
-    n = collections.Counter(t for terms in texts.values() for t in terms)
-    assert set(model.vocabulary) == {t for t, k in n.items() if k >= 2}
-    assert set(model.ids) == {i for i in learnable if texts[rows[i]["text"]] & set(model.vocabulary)}
-    insults = [i for i, r in rows.items() if len(re.findall("idiot|disgusting|worthless|stupid|pathetic|scum|moron", (r["text"] or "").lower())) >= 3]
-    assert insults and all(model.score(rows[i]["text"])[0] >= toxicity.TOXIC_FROM for i in insults)
+def spark_round(x):
+    return float(decimal.Decimal(repr(float(x))).quantize(decimal.Decimal("0.0001"), decimal.ROUND_HALF_UP))
+
+
+def test_toxicity_flags_insults_of_a_small_table(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    insults = [i for i, t in texts.items() if len(re.findall("idiot|disgusting|worthless|stupid|pathetic|scum|moron", (t or "").lower())) >= 3]
+    flagged = {r["doc_id"] for r in queries.op3_toxicity(spark, sf).where("predicted = 1").collect()}
+    assert insults and len(flagged & set(insults)) >= 0.9 * len(insults)
 
 
 def test_isotonic():
@@ -174,6 +215,8 @@ def test_toxicity_odd_rows(spark, odd, empty, docs, sf):
     assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out) and toxicity.classify(empty, model).count() == 0
     none = toxicity.learn(docs, labels.limit(0))
     assert toxicity.classify(odd, none, keep=["doc_id"]).where("score <> 0").count() == 0
+    named = toxicity.classify(odd, model, score="s", evidence="e")
+    assert named.columns == [*odd.columns, "s", "e"] and {r["score"] for r in named.collect()} == {0.5}
     twice = toxicity.learn(odd, spark.createDataFrame([(1, 1), (1, 0), (4, 0), (None, 1), (8, None)], "doc_id bigint, toxic int"))
     assert toxicity.classify(odd, twice).count() == odd.count()
 
