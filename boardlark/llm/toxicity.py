@@ -1,14 +1,14 @@
 """Toxicity by the nearest labelled examples.
 
-Learning.  Up to PER_CLASS labelled documents of each class (the first by a hash of their id) are the examples.  Terms are a text's lower-case words and
-their stems of STEM letters; all that two or more examples hold, of whichever class, make the vocabulary.  Examples become vectors of length 1 over it:
+Learning.  Up to PER_CLASS labelled documents of each class (the first by a hash of their id) are the examples.  Terms are the first
+STEM letters of a text's lower-case words; all that two or more examples hold, of whichever class, make the vocabulary.  Examples become vectors of length 1 over it:
 (1 + log frequency) times the inverse document frequency, which is counted over all documents, times FLOOR plus the absolute log ratio of the term's
 shares of the two classes (delta TF-IDF, after Martineau and Finin, 2009).  No term is left out for its ratio, and every example that holds a term of
 the vocabulary can be found.
 
 Search.  A block-max inverted index gives the exact k nearest by cosine.  Lists of rare terms are added up; for a frequent term each block of examples has
-the largest weight within it, so that sum and maxima bound a block's cosines.  Blocks are read in falling order of that bound until it is below the
-k-th best; what may be among the k best is then computed again in full precision.  A text without any term of the vocabulary has no neighbours.
+the largest weight within it, so that sum and maxima bound a block's cosines.  The blocks of the largest bounds are read first, then only those whose bound
+reaches the k-th best so far; what may be among the k best is computed again in full precision.  A text without any term of the vocabulary has no neighbours.
 
 Score.  Neighbours vote by cosine / (distance + SOFT), each class weighted to its share among all labelled documents, with a prior vote for these
 shares.  The votes of the examples, each judged without itself and its copies, are put in order by isotonic regression, and between the middles of its
@@ -41,12 +41,14 @@ from boardlark.llm.shared import Scratch, arrow_pass, sliced
 PER_CLASS = 5000
 #: A term must be in so many examples; in one alone it can't bring it nearer to another.
 LEAST = 2
-#: Letters of a stem.
+#: Letters of a stem: of 4, 5 and 6 (and whole words beside stems of 4), the one of the best held-out accuracy.
 STEM = 4
 #: Weight of a term that is as frequent in both classes, beside the absolute log ratio of the classes' shares.
 FLOOR = 0.5
 #: Terms that more than this share of the examples hold are kept by block, DENSE of them at most; the others as lists.
-OFTEN, DENSE = 0.1, 1000
+OFTEN, DENSE = 0.05, 1500
+#: Texts that are searched together.
+BATCH = 64
 #: Neighbours, examples in a block, softness of the distance weights, and examples shown as evidence.
 NEIGHBOURS, BLOCK, SOFT, SHOWN = 25, 64, 0.05, 3
 #: Single-precision sums may be off by less than this; what is so near to the k-th best is computed again.
@@ -55,49 +57,20 @@ SLACK = 1e-5
 PRIOR = 2.0
 #: From this score on a document is predicted toxic.
 TOXIC_FROM = 0.3
-CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+").findall
 
 
-def terms_of(word: str) -> list[str]:
-    """A word and its stem, marked as such."""
-    return [word, word[:STEM] + "*"] if len(word) > STEM else [word]
-
-
 def counted(text: str | None) -> Counter:
     """How often each term is in a text."""
-    out: Counter = Counter()
-    for word, n in Counter(_WORD((text or "").lower())).items():
-        for t in terms_of(word):
-            out[t] += n
-    return out
-
-
-class _Known(dict):
-    """Word to the numbers of its terms in the vocabulary."""
+    return Counter([w[:STEM] for w in _WORD((text or "").lower())])
 
-    def __init__(self, words: list[str]):
-        super().__init__()
-        self.vocabulary = {t: i for i, t in enumerate(words)}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = found
-        return found
-
-
-def numbered(text: str | None, known: _Known) -> tuple[np.ndarray, np.ndarray]:
+def numbered(text: str | None, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of a text's terms, ascending, and how often each occurs."""
-    n: dict[int, int] = {}
-    for word, times in Counter(_WORD((text or "").lower())).items():
-        for t in known[word]:
-            n[t] = n.get(t, 0) + times
-    terms, counts = np.fromiter(n.keys(), np.int64, len(n)), np.fromiter(n.values(), np.int64, len(n))
-    order = np.argsort(terms)
-    return terms[order], counts[order]
+    found = sorted((at, n) for t, n in counted(text).items() if (at := vocabulary.get(t)) is not None)
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _spans(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -110,7 +83,7 @@ class BlockMaxIndex:
 
     def __init__(self, term: np.ndarray, owner: np.ndarray, weight: np.ndarray, size: int, n_terms: int, rank: np.ndarray | None = None):
         """Entries (term, owner, weight) in ascending order of owner, each vector of length 1.  rank: an order of the vectors for ties, their number by default."""
-        self.size, self.blocks, self.n_terms = size, -(-size // BLOCK), n_terms
+        self.size, self.blocks, self.n_terms = size, max(1, -(-size // BLOCK)), n_terms
         self.rank = np.arange(size) if rank is None else rank
         self.term, self.value = term.astype(np.int32), weight
         self.starts = np.searchsorted(owner, np.arange(size + 1))
@@ -121,12 +94,12 @@ class BlockMaxIndex:
         self.row[often] = np.arange(len(often))
         rest = np.flatnonzero(self.row[term] < 0)
         rest = rest[np.argsort(term[rest], kind="stable")]
-        self.owner, self.weight = owner[rest].astype(np.int32), weight[rest].astype(np.float32)
+        self.owner, self.weight = owner[rest].astype(np.int64), weight[rest]
         self.edges = np.concatenate([[0], np.cumsum(np.where(self.row < 0, held, 0))])
         self.most = np.zeros((len(often), self.blocks), np.float32)
         at = np.flatnonzero(self.row[term] >= 0)
         np.maximum.at(self.most, (self.row[term[at]], owner[at] // BLOCK), weight[at].astype(np.float32))
-        self._ready = False
+        self.dense = self.query = None
 
     def _prepare(self) -> None:
         """The frequent terms' weights by block, and a row for a query; made where the index is used, so that it travels without them."""
@@ -134,7 +107,7 @@ class BlockMaxIndex:
         at = np.flatnonzero(self.row[self.term] >= 0)
         dense = np.zeros((self.blocks * BLOCK, len(self.most)), np.float32)
         dense[owner[at], self.row[self.term[at]]] = self.value[at]
-        self.dense, self.query, self._ready = dense.reshape(self.blocks, BLOCK, -1), np.zeros(self.n_terms), True
+        self.dense, self.query = dense.reshape(self.blocks, BLOCK, -1), np.zeros(self.n_terms)
 
     def exact(self, ids: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The cosines with these vectors in full precision."""
@@ -145,39 +118,55 @@ class BlockMaxIndex:
         self.query[terms] = 0
         return np.add.reduceat(product, np.cumsum(n) - n) if len(ids) else np.zeros(0)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k vectors of the largest positive cosine and those cosines, larger first, then by rank.  without: numbers of vectors left out."""
-        if not self._ready:
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) the k vectors of the largest positive cosine and those cosines, larger first, then by rank.  without: for each
+        query the numbers of vectors left out, or None."""
+        if self.dense is None:
             self._prepare()
-        row = self.row[terms]
-        rare, dense = terms[row < 0], row[row >= 0]
-        n = self.edges[rare + 1] - self.edges[rare]
-        place = _spans(self.edges[rare], n)
-        part = np.bincount(self.owner[place], np.repeat(weights[row < 0], n) * self.weight[place], self.blocks * BLOCK).astype(float)
-        if without is not None:
-            part[without] = -np.inf
-        part = part.reshape(self.blocks, BLOCK)
-        x = np.zeros(len(self.most), np.float32)
-        x[dense] = weights[row >= 0]
-        bound = part.max(1, initial=0.0) + x[dense] @ self.most[dense]
-        ids, near, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 2 * SLACK:
-                break
-            own = part[b] + self.dense[b] @ x
-            hit = np.flatnonzero((own > 0) & (own >= least - 2 * SLACK))
-            if len(hit):
-                ids, near = np.concatenate([ids, b * BLOCK + hit]), np.concatenate([near, own[hit]])
-                if len(near) >= k:
-                    least = max(least, np.partition(near, len(near) - k)[len(near) - k])
-        ids = ids[near >= least - 2 * SLACK]
-        cosines = self.exact(ids, terms, weights)
-        best = np.lexsort((self.rank[ids], -np.round(cosines, 12)))
-        best = best[cosines[best] > 1e-12][:k]
-        return ids[best], cosines[best]
+        q, every = len(queries), np.arange(len(queries))
+        part, x = np.zeros((q, self.blocks * BLOCK), np.float32), np.zeros((q, len(self.most)), np.float32)
+        for i, (terms, weights) in enumerate(queries):
+            row = self.row[terms]
+            lists = row < 0
+            x[i, row[~lists]] = weights[~lists]
+            n = self.edges[terms[lists] + 1] - self.edges[terms[lists]]
+            place = _spans(self.edges[terms[lists]], n)
+            part[i] = np.bincount(self.owner[place], np.repeat(weights[lists], n) * self.weight[place], self.blocks * BLOCK)
+            if without and without[i] is not None:
+                part[i, without[i]] = -np.inf
+        part = part.reshape(q, self.blocks, BLOCK)
+        bound = part.max(2) + x @ self.most
+        found = np.full(part.shape, -1, np.float32)
+
+        def read(which: np.ndarray, blocks: np.ndarray) -> None:
+            """The cosines of these pairs of a query and a block; each block is taken up once for all its queries."""
+            order = np.argsort(blocks, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1) if len(order) else []:
+                b, own = blocks[at[0]], which[at]
+                found[own, b] = part[own, b] + x[own] @ self.dense[b].T
+
+        # The blocks of the largest bounds give a threshold, and only blocks whose bound reaches it are read besides.
+        some = min(self.blocks, 2 + -(-2 * k // BLOCK))
+        first = np.argpartition(-bound, some - 1, axis=1)[:, :some]
+        read(np.repeat(every, some), first.ravel())
+        near = np.take_along_axis(found, first[:, :, None], 1).reshape(q, -1)
+        least = np.maximum(0, np.partition(near, near.shape[1] - k, axis=1)[:, -k]) if near.shape[1] >= k else np.zeros(q)
+        need = (bound > 0) & (bound >= (least - 2 * SLACK)[:, None])
+        np.put_along_axis(need, first, False, 1)
+        read(*np.nonzero(need))
+        out = []
+        for (terms, weights), own, low in zip(queries, found.reshape(q, -1), least):
+            ids = np.flatnonzero((own > 0) & (own >= low - 2 * SLACK))
+            if len(ids) > k:
+                ids = ids[own[ids] >= np.partition(own[ids], len(ids) - k)[len(ids) - k] - 2 * SLACK]
+            cosines = self.exact(ids, terms, weights)
+            best = np.lexsort((self.rank[ids], -np.round(cosines, 12)))
+            best = best[cosines[best] > 1e-12][:k]
+            out.append((ids[best], cosines[best]))
+        return out
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "query")} | {"_ready": False}
+        return self.__dict__ | {"dense": None, "query": None}
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float], list[float]]:
@@ -216,7 +205,7 @@ class Voter:
         term = np.concatenate([e[2] for e in held] or [np.zeros(0, np.int64)])
         owner = np.repeat(np.arange(len(held)), [len(e[2]) for e in held])
         self.index = BlockMaxIndex(term, owner, np.concatenate([self.weights(e[2], e[3]) for e in held] or [np.zeros(0)]), len(held), len(words), rank)
-        self._known: _Known | None = None
+        self._vocabulary: dict[str, int] | None = None
 
     def _heaviest(self, e: tuple, frequent: np.ndarray) -> int:
         at = np.flatnonzero(frequent[e[2]])
@@ -226,13 +215,18 @@ class Voter:
         w = (1 + np.log(counts)) * self.weight[terms]
         return w / np.sqrt((w * w).sum())
 
-    def neighbours(self, text: str | None, without: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the nearest examples and their cosines.  without: the name of a text whose examples are left out."""
-        self._known = self._known or _Known(self.words)
-        terms, counts = numbered(text, self._known)
-        if not len(terms) or not self.ids:
-            return np.zeros(0, np.int64), np.zeros(0)
-        return self.index.nearest(terms, self.weights(terms, counts), NEIGHBOURS, self.copies.get(without) if without else None)
+    def neighbours(self, texts: list[str | None], without: list[str] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the numbers of the nearest examples and their cosines.  without: for each text the name of a text whose examples are left out."""
+        if self._vocabulary is None:
+            self._vocabulary = {t: i for i, t in enumerate(self.words)}
+        out = [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+        for a in range(0, len(texts) if self.ids else 0, BATCH):
+            found = [(i, *numbered(t, self._vocabulary)) for i, t in enumerate(texts[a : a + BATCH], a)]
+            found = [f for f in found if len(f[1])]
+            skipped = [self.copies.get(without[i]) for i, *_ in found] if without else None
+            for (i, *_), near in zip(found, self.index.nearest([(t, self.weights(t, n)) for _, t, n in found], NEIGHBOURS, skipped) if found else []):
+                out[i] = near
+        return out
 
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         toxic = self.labels[ids] == 1
@@ -240,7 +234,7 @@ class Voter:
         return round(float((w[toxic].sum() + PRIOR * self.shares[1]) / (w.sum() + PRIOR)), 9)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": None}
+        return self.__dict__ | {"_vocabulary": None}
 
 
 class Model:
@@ -269,26 +263,21 @@ class Model:
         return round(p + (q - p) * (vote - a) / (b - a), 9)
 
     def scorer(self):
-        """A function from a text to the probability that it is toxic, and its nearest examples as (id, label, cosine).  It holds no voter itself."""
-        shared, empty, centres = self.shared, self.empty if self.voter else self.share, self.centres
-        probability = self.probability if centres else None
-        if not centres:
-            return lambda text: (empty, [])
-        light = Model.__new__(Model)
+        """A function from texts to the probability that each is toxic, and its nearest examples as (id, label, cosine).  It holds no voter itself."""
+        shared, light = self.shared, Model.__new__(Model)
         light.centres, light.values = self.centres, self.values
-        probability = light.probability
+        empty = self.empty if self.voter else self.share
 
-        def score(text: str | None) -> tuple[float, list[tuple[str, int, float]]]:
+        def scores(texts: list[str | None]) -> list[tuple[float, list[tuple[str, int, float]]]]:
+            if not light.centres:
+                return [(empty, [])] * len(texts)
             voter = shared.value
-            ids, near = voter.neighbours(text)
-            if not len(ids):
-                return empty, []
-            return probability(voter.vote(ids, near)), [(voter.ids[i], int(voter.labels[i]), float(c)) for i, c in zip(ids[:SHOWN], near)]
-
-        return score
+            return [
+                (light.probability(voter.vote(ids, near)), [(voter.ids[i], int(voter.labels[i]), float(c)) for i, c in zip(ids[:SHOWN], near)]) if len(ids) else (empty, [])
+                for ids, near in voter.neighbours(texts)
+            ]
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[str, int, float]]]:
-        return self.scorer()(text)
+        return scores
 
 
 def document_frequencies(docs: DataFrame, text: str, words: list[str], shared) -> tuple[int, np.ndarray]:
@@ -296,15 +285,12 @@ def document_frequencies(docs: DataFrame, text: str, words: list[str], shared) -
     schema = StructType([StructField("term", IntegerType()), StructField("n", LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rows = _Known(shared.value), 0
+        known, rows = {t: i for i, t in enumerate(shared.value)}, 0
         total = np.zeros(len(shared.value), np.int64)
         for batch in sliced(batches, "text"):
             for t in batch.column("text").to_pylist():
                 rows += 1
-                met: set[int] = set()
-                for word in set(_WORD((t or "").lower())):
-                    met.update(known[word])
-                total[np.fromiter(met, np.int64, len(met))] += 1
+                total[[at for w in {w[:STEM] for w in _WORD((t or "").lower())} if (at := known.get(w)) is not None]] += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([rows, *total[some]], pa.int64())], schema.names)
 
@@ -351,7 +337,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     weight = np.log((1 + rows) / (0.5 + np.maximum(1, frequency))) * (FLOOR + np.abs(np.log(ratio)))
 
     def make_numbers():
-        vocabulary, kind = _Known(shared.value), pa.list_(pa.int32())
+        vocabulary, kind = {t: i for i, t in enumerate(shared.value)}, pa.list_(pa.int32())
 
         def work(batch: pa.RecordBatch) -> dict:
             found = [numbered(x, vocabulary) for x in batch.column("text").to_pylist()]
@@ -370,7 +356,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
 
     def make_votes():
         def work(batch: pa.RecordBatch) -> dict:
-            found = [shared.value.neighbours(t, m) for t, m in zip(batch.column("text").to_pylist(), batch.column("name").to_pylist())]
+            found = shared.value.neighbours(batch.column("text").to_pylist(), batch.column("name").to_pylist())
             return {"vote": pa.array([shared.value.vote(*f) for f in found], pa.float64()), "met": pa.array([len(f[0]) > 0 for f in found], pa.bool_())}
 
         return work
@@ -388,7 +374,7 @@ def classify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
         kind = pa.list_(pa.struct([("example", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
         def work(batch: pa.RecordBatch) -> dict:
-            scores, found = zip(*map(of, batch.column(text).to_pylist()))
+            scores, found = zip(*of(batch.column(text).to_pylist()))
             rows = [[{"example": i, "label": y, "cosine": c} for i, y, c in e] for e in found]
             return {score: pa.array(scores, pa.float64()), evidence: pa.array(rows, kind)}
 
