@@ -1,18 +1,18 @@
 """Markdown quality audit: rows of (id, severity, code, line, excerpt), the first of each code in a record.
 
-Record-wide and line-wise codes are plain columns; lines are exploded with their number, so a record of any length is spread over rows.  Table codes need
-a scan that carries state, so one Arrow pass per record finds those.
+A record is judged by itself: fences, tables and blank lines carry state from line to line, so one Arrow pass reads each text once, without a shuffle.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from boardlark.functions.text import WS, excerpt, strip
 from boardlark.operators.markdown import cells, is_row, is_rule
 
 RANK = {"P0": 0, "P1": 1, "P2": 2}
@@ -39,56 +39,6 @@ LINE = (
 OPEN_TEXT = r"(?<!\\)!?(?<!\\)\[[^\]\n]*\z"
 
 
-def _finds(x: Column, pattern: str) -> Column:
-    return x.rlike(f"(?U){pattern}" if not pattern.startswith("(?i)") else f"(?iU){pattern[4:]}")
-
-
-def _odd_ticks(x: Column) -> Column:
-    return F.length(F.regexp_replace(x, r"(?s)\\.|[^`]", "")) % 2 == 1
-
-
-def lines(records: DataFrame) -> DataFrame:
-    """(id, line, text, bare, fenced, before): the lines of each record; bare is without inline code, fenced inside a code fence or its mark."""
-    split = records.select("id", F.posexplode(F.split("content", BREAKS)).alias("_p", "text"))
-    by = Window.partitionBy("id").orderBy("_p")
-    fence = strip("text").rlike("^(```|~~~)")
-    d = split.withColumn("mark", fence.cast("int")).withColumn("fenced", (F.sum("mark").over(by) - F.col("mark")) % 2 + F.col("mark") > 0)
-    return d.select("id", (F.col("_p") + 1).alias("line"), "text", F.regexp_replace("text", r"`[^`\n]*`", "").alias("bare"), "fenced", F.coalesce(F.lag("text").over(by), F.lit("")).alias("before"), "mark")
-
-
-def _codes(tests: list[tuple[Column, str, str]]) -> Column:
-    return F.array_compact(F.array(*[F.when(test, F.struct(F.lit(s).alias("severity"), F.lit(c).alias("code"))) for test, s, c in tests]))
-
-
-def line_issues(rows: DataFrame) -> DataFrame:
-    """Issues of the lines() outside fences."""
-    bare = F.col("bare")
-    tests = [(_odd_ticks(bare), "P1", "unbalanced_inline_code")]
-    tests += [(_finds(bare, p), s, c) for s, c, p in LINE]
-    tests.append((~F.contains(bare, F.lit("[^")) & _finds(bare, OPEN_TEXT), "P1", "unclosed_link_text"))
-    tests.append((F.col("text").rlike(r"^[ \t]{4,}[^\s]") & (strip("before") == ""), "P2", "accidental_code_indent"))
-    found = rows.where("NOT fenced").select("id", "line", "text", F.explode(_codes(tests)).alias("i"))
-    return found.groupBy("id", "i.severity", "i.code").agg(F.min_by(F.struct("line", "text"), "line").alias("f")).select("id", "severity", "code", "f.line", excerpt("f.text").alias("excerpt"))
-
-
-def record_issues(records: DataFrame, rows: DataFrame) -> DataFrame:
-    """Issues of whole records, each with the first line that shows it (null where none does by itself)."""
-    content = F.col("content")
-    fences = rows.groupBy("id").agg(F.count_if(strip("text").startswith("```")).alias("a"), F.count_if(strip("text").startswith("~~~")).alias("b"), F.sum(F.size(F.split("bare", r"\*\*")) - 1).alias("strong"))
-    tests = [(_finds(content, p), s, c) for s, c, p in RECORD]
-    tests.append((F.contains(content, F.lit("<!--")) | F.contains(content, F.lit("-->")), "P1", "html_comment"))
-    tests.append((content.rlike("\n{3,}"), "P2", "repeated_blank_lines"))
-    tests.append(((F.col("a") % 2 == 1) | (F.col("b") % 2 == 1), "P0", "unclosed_fence"))
-    tests.append((F.col("strong") % 2 == 1, "P1", "unbalanced_strong"))
-    found = records.join(fences, "id").select("id", F.explode(_codes(tests)).alias("i")).select("id", "i.severity", "i.code")
-    by = Window.partitionBy("id").orderBy("line")
-    blank = rows.withColumn("_b", strip("text") == "").withColumn("_3", F.col("_b") & F.coalesce(F.lag("_b", 1).over(by), F.lit(False)) & F.coalesce(F.lag("_b", 2).over(by), F.lit(False)))
-    shows = [(_finds(F.col("text"), p), s, c) for s, c, p in RECORD]
-    shows += [(F.contains("text", F.lit("<!--")), "P1", "html_comment"), (F.col("_3"), "P2", "repeated_blank_lines"), (F.col("mark") == 1, "P0", "unclosed_fence"), (F.contains("text", F.lit("**")), "P1", "unbalanced_strong")]
-    first = blank.select("id", "line", "text", F.explode(_codes(shows)).alias("i")).groupBy("id", "i.code").agg(F.min_by(F.struct("line", "text"), "line").alias("f"))
-    return found.join(first, ["id", "code"], "left").select("id", "severity", "code", "f.line", excerpt(F.coalesce("f.text", F.lit(""))).alias("excerpt"))
-
-
 def table_scan(content: str) -> dict[str, tuple[str, int, str]]:
     """Table codes of one text: code to (severity, line, line's text).  A lone separator row counts as a row without separator."""
     found: dict[str, tuple[str, int, str]] = {}
@@ -114,24 +64,85 @@ def table_scan(content: str) -> dict[str, tuple[str, int, str]]:
     return found
 
 
-def table_issues(records: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, s, code, n, text) for i, c in zip(b["id"], b["content"]) for code, (s, n, text) in table_scan(c or "").items()]
-            yield pd.DataFrame(rows, columns=["id", "severity", "code", "line", "text"])
-
-    found = records.where(F.contains("content", F.lit("|"))).select(F.col("id").cast("string"), "content").mapInPandas(run, "id string, severity string, code string, line int, text string")
-    return found.select("id", "severity", "code", "line", excerpt("text").alias("excerpt"))
+_BREAK = re.compile(BREAKS)
+_COMPILED = {code: re.compile(p.replace(r"\z", r"\Z")) for _, code, p in (*RECORD, *LINE)}
+_OPEN_TEXT = re.compile(OPEN_TEXT.replace(r"\z", r"\Z"))
+_CODE = re.compile(r"`[^`\n]*`")
+_ESCAPED = re.compile(r"\\.|[^`]", re.S)
+_INDENT = re.compile(r"[ \t]{4,}[^\s]")
+SEVERITY = {code: s for s, code, _ in (*RECORD, *LINE)} | {
+    "html_comment": "P1", "repeated_blank_lines": "P2", "unclosed_fence": "P0", "unbalanced_strong": "P1", "unbalanced_inline_code": "P1", "unclosed_link_text": "P1",
+    "accidental_code_indent": "P2", "empty_content": "P0", "table_row_without_separator": "P2", "empty_table_header": "P1", "table_column_mismatch": "P1",
+}
+
+
+def _short(text: str, most: int = 180) -> str:
+    v = " ".join(text.split())
+    return v if len(v) <= most else v[: most - 1] + "…"
+
+
+def issues_of(content: str | None) -> list[tuple[str, str, int | None, str]]:
+    """The issues of one record as (severity, code, line, excerpt), the first line of each code; line None where no line shows it by itself."""
+    content = content or ""
+    if not content.strip():
+        return [("P0", "empty_content", None, "")]
+    rows = _BREAK.split(content)
+    found: dict[str, tuple[int | None, str]] = {}
+    marks = [x.strip().startswith(("```", "~~~")) for x in rows]
+
+    def first(code: str, shows) -> None:
+        """A record-wide code, with the first line that shows it."""
+        k = next((k for k, x in enumerate(rows) if shows(k, x)), None)
+        found[code] = (None, "") if k is None else (k + 1, rows[k])
+
+    for _, code, _ in RECORD:
+        if _COMPILED[code].search(content):
+            first(code, lambda _, x, p=_COMPILED[code]: p.search(x))
+    if "<!--" in content or "-->" in content:
+        first("html_comment", lambda _, x: "<!--" in x)
+    if "\n\n\n" in content:
+        first("repeated_blank_lines", lambda k, _: k >= 2 and not (rows[k].strip() or rows[k - 1].strip() or rows[k - 2].strip()))
+    if any(marks) and any(sum(x.strip().startswith(m) for x in rows) % 2 for m in ("```", "~~~")):
+        first("unclosed_fence", lambda k, _: marks[k])
+    ticks = "`" in content
+    bare = [_CODE.sub("", x) for x in rows] if ticks else rows
+    if sum(x.count("**") for x in bare) % 2:
+        first("unbalanced_strong", lambda _, x: "**" in x)
+    # Without inline code a line's text is its bare text, so what the whole record lacks no line has; anchored patterns need a bracket.
+    wanted = [(code, _COMPILED[code]) for _, code, p in LINE if ticks or ("[" in content if p.endswith(r"\z") else _COMPILED[code].search(content))]
+    fenced = False
+    for k, (x, b, mark) in enumerate(zip(rows, bare, marks)):
+        inside, fenced = fenced or mark, fenced != mark
+        if inside:
+            continue
+        hit = [code for code, p in wanted if code not in found and p.search(b)]
+        if ticks and "`" in b and len(_ESCAPED.sub("", b)) % 2:
+            hit.append("unbalanced_inline_code")
+        if "[" in b and "[^" not in b and _OPEN_TEXT.search(b):
+            hit.append("unclosed_link_text")
+        if _INDENT.match(x) and not (rows[k - 1].strip() if k else ""):
+            hit.append("accidental_code_indent")
+        for code in hit:
+            found.setdefault(code, (k + 1, x))
+    tables = table_scan(content) if "|" in content else {}
+    out = [(SEVERITY[code], code, line, _short(text)) for code, (line, text) in found.items()]
+    return out + [(s, code, line, _short(text)) for code, (s, line, text) in tables.items()]
 
 
 def audit(records: DataFrame) -> DataFrame:
-    """All issues of records (id, content).  An empty record has that one issue."""
-    records = records.select(F.col("id").cast("string").alias("id"), F.coalesce("content", F.lit("")).alias("content"))
-    empty = F.col("content").rlike(rf"(?U)^{WS}*\z")
-    none = records.where(empty).select("id", F.lit("P0").alias("severity"), F.lit("empty_content").alias("code"), F.lit(None).cast("int").alias("line"), F.lit("").alias("excerpt"))
-    full = records.where(~empty)
-    rows = lines(full)
-    return none.unionByName(record_issues(full, rows)).unionByName(line_issues(rows)).unionByName(table_issues(full))
+    """All issues of records (id, content): id, severity, code, line, excerpt.  One narrow pass; each row is judged by itself, whatever its id.  An empty
+    record has that one issue."""
+    schema = StructType.fromDDL("id string, severity string, code string, line int, excerpt string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column("id").to_pylist(), b.column("content")
+            for at in range(0, len(ids), 256):
+                rows = [(i, *issue) for i, c in zip(ids[at : at + 256], texts.slice(at, 256).to_pylist()) for issue in issues_of(c)]
+                columns = zip(*rows) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()))], schema.names)
+
+    return records.select(F.col("id").cast("string").alias("id"), "content").mapInArrow(run, schema)
 
 
 def _rank(column: str = "severity") -> Column:

@@ -11,7 +11,7 @@ import math
 import re
 from dataclasses import dataclass
 from datetime import date
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,36 +156,50 @@ def clamp(page: int | None, size: int | None, total: int) -> tuple[int, int, int
     return min(max(1, page or 1), pages), size, pages
 
 
-@dataclass(frozen=True)
 class Page:
-    items: DataFrame
-    total: int
-    page: int
-    size: int
-    pages: int
+    """One page of found rows.  The total is counted when it is asked for; the first page doesn't need it."""
+
+    def __init__(self, ordered: DataFrame, met: DataFrame, page: int | None, size: int | None):
+        """ordered: all rows that pages are cut from; met: the rows that the total counts."""
+        self._ordered, self._met, self._asked = ordered, met, page
+        self.size = clamp(None, size, 0)[1]
+
+    @cached_property
+    def total(self) -> int:
+        return self._met.count()
+
+    @property
+    def page(self) -> int:
+        return 1 if (self._asked or 1) <= 1 else clamp(self._asked, self.size, self.total)[0]
+
+    @property
+    def pages(self) -> int:
+        return clamp(None, self.size, self.total)[2]
+
+    @property
+    def items(self) -> DataFrame:
+        at = self.page
+        return (self._ordered.offset((at - 1) * self.size) if at > 1 else self._ordered).limit(self.size)
+
+    def any(self) -> bool:
+        """Whether the total is above 0, without counting."""
+        return not self._met.limit(1).isEmpty()
 
 
 def search(df: DataFrame, q: str | None = None, page: int = 1, size: int | None = None, today: date | str | None = None, mode: str = "primary", synonyms: tuple[tuple[str, ...], ...] = SYNONYMS) -> Page:
     """One page over searchable() rows that are filtered already.  A blank query lists the newest."""
     today = today or date.today()
     if not squeeze(q):
-        total = df.count()
-        now, size, pages = clamp(page, size, total)
-        return Page(latest(df).offset((now - 1) * size).limit(size), total, now, size, pages)
+        return Page(latest(df), df, page, size)
     if mode == "fallback":
-        found = df.where(matches_some(q))
-        total = found.count()
-        within = total
+        met = found = df.where(matches_some(q))
     else:
         met = df.where(candidate(q, synonyms))
-        total = met.count()
         found = latest(met).limit(CANDIDATES).where(matches_any(q, synonyms))
-        within = total  # ranked rows are a part of the candidates
-    now, size, pages = clamp(page, size, within)
-    return Page(ranked(found, q, today, synonyms).offset((now - 1) * size).limit(size), total, now, size, pages)
+    return Page(ranked(found, q, today, synonyms), met, page, size)
 
 
 def relevant(df: DataFrame, q: str | None, most: int, today: date | str, or_latest: bool = True, mode: str = "primary") -> DataFrame:
     """The best `most` rows for a question; the newest if none matches, unless that is switched off."""
     hits = search(df, q, 1, most, today, mode)
-    return search(df, None, 1, most, today).items if or_latest and hits.total == 0 else hits.items
+    return search(df, None, 1, most, today).items if or_latest and not hits.any() else hits.items

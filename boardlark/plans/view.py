@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlark.operators.classify import classified
 from boardlark.operators.search import searchable
+from boardlark.operators.store import Files
 from boardlark.rules import Taxonomy
+from boardlark.session import shared_folder
 
 TODAY = "2025-05-15"
 
@@ -27,7 +31,10 @@ CORPUS_SYNONYMS = (("idiot", "moron", "clown"), ("license", "licence", "Licensed
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the corpus; one of a single split and of documents or pages is dealt out to all cores, as what follows reads whole texts."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table in ("documents", "pages") and 0 < df.rdd.getNumPartitions() < cores else df
 
 
 def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +57,30 @@ def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices with their classification and searchable columns, as they are published."""
     return searchable(classified(plain(spark, sf_dir), CORPUS))
 
 
+_PUBLISHED: dict[tuple, str] = {}
+
+
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published notices.  As in a Store, classification and searchable columns are made once, when the documents are ingested, and queries read them:
+    the table is written to the shared folder by the first query of an application, again if the files of `documents` change, and goes with the application.
+    Rows lie sorted by audience and date within each file, so that filters on them skip row groups."""
+    source = Files(spark, f"{sf_dir}/documents.parquet")
+    status = source.fs.globStatus(source.path(f"{sf_dir}/documents.parquet{{,/*.parquet}}"))
+    key = (spark.sparkContext.applicationId, sf_dir, tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in status))
+    if key not in _PUBLISHED:
+        where = f"{shared_folder(spark)}/notices-{uuid.uuid4().hex}"
+        ingested(spark, sf_dir).sortWithinPartitions("audience_group", "published_at").write.parquet(where)
+        files = Files(spark, where)
+        files.fs.deleteOnExit(files.path(where))
+        _PUBLISHED[key] = where
+    return spark.read.parquet(_PUBLISHED[key])
+
+
 SQL = r"""
 n0 AS (SELECT doc_id AS ord, 'doc-' || doc_id AS id, left(split_part(text, chr(10), 1), 80) AS title, text AS content, source, lang AS category,
   strftime(DATE '2024-01-01' + CAST(doc_id % 500 AS INTEGER), '%Y-%m-%d') AS published_at, doc_id % 17 = 0 AS permanent FROM documents),
