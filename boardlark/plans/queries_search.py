@@ -11,13 +11,19 @@ from boardlark.operators.classify import by_audience, by_group
 from boardlark.operators.search import Filters, clamp, filtered, latest, ranked
 from boardlark.operators.store import children, nested
 from boardlark.plans.registry import query
-from boardlark.plans.view import CORPUS, CORPUS_SYNONYMS, SQL, TODAY, notices, read
+from boardlark.plans.view import CORPUS, CORPUS_SYNONYMS, SQL, TODAY, ingested, notices, read
 
 SHOWN = ("id", "title", "published_at")
 ORDER = "ORDER BY published_at DESC, title, id"
 PHRASE, ANY, TWO, TIGHT, SYNONYM, WILD = "Apache License", "license warranty", "license version public", "apachelicense", "clown", "lic_nse%version"
 
 
+@query(f"WITH {SQL} SELECT id, audience, length(st) AS n_text, length(sc) AS n_compact FROM notice")
+def ingest_notices(spark, d):
+    """What ingestion makes of every document, without the published table: classification and searchable columns."""
+    return ingested(spark, d).select("id", F.col("audience_group").alias("audience"), F.length("searchable_text").cast("long").alias("n_text"), F.length("searchable_compact").cast("long").alias("n_compact"))
+
+
 @query(f"WITH {SQL} SELECT id, title, published_at FROM notice {ORDER} LIMIT 20")
 def list_latest(spark, d):
     return search.search(notices(spark, d), None, 1).items.select(*SHOWN)
