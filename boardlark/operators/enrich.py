@@ -123,6 +123,34 @@ def refreshed(content: Column, original: Column, fresh: Column, status: Column)
     return F.when(status == "success", content).otherwise(fresh), fresh
 
 
+def refreshed_posts(posts: DataFrame, pages: DataFrame) -> DataFrame:
+    """Posts after their pages were read again, with `outcome`.  posts: _ord, original_url, content, content_original, status (of the enrichment) and board
+    (null where none fits); pages: original_url, html_found and fresh (the parsed body, null where parsing failed).  A post without a usable page stays as it is."""
+    of = pages.select(F.col("original_url").alias("_url"), "html_found", blank_to_null("fresh").alias("fresh")).dropDuplicates(["_url"])
+    both = posts.join(of, F.col("original_url") == F.col("_url"), "left").drop("_url")
+    outcome = F.when(F.col("board").isNull(), "skipped_no_board").when(~F.coalesce("html_found", F.lit(False)), "failed_fetch").when(F.col("fresh").isNull(), "failed_parse")
+    both = both.withColumn("outcome", outcome.when(F.col("status") == "success", "preserved_enriched").otherwise("succeeded"))
+    content, original = refreshed(F.col("content"), F.col("content_original"), F.col("fresh"), F.col("status"))
+    used = F.col("outcome").isin("succeeded", "preserved_enriched")
+    out = both.withColumns({"content": F.when(used, content).otherwise(F.col("content")), "content_original": F.when(used, original).otherwise(F.col("content_original"))})
+    return out.select(*posts.columns, "outcome")
+
+
+def refresh_counts(results: DataFrame) -> DataFrame:
+    """total, succeeded, preserved_enriched (which succeeded too), failed_fetch, failed_parse and skipped_no_board of refreshed_posts()."""
+    n = lambda *o: F.count_if(F.col("outcome").isin(*o))
+    single = [n(o).alias(o) for o in ("preserved_enriched", "failed_fetch", "failed_parse", "skipped_no_board")]
+    return results.agg(F.count("*").alias("total"), n("succeeded", "preserved_enriched").alias("succeeded"), *single)
+
+
+def reply_object(raw: Column | str) -> Column:
+    """struct(object, error): a model's reply as a JSON object in text form; an error for anything else."""
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    parsed = F.try_parse_json(raw)
+    good = F.coalesce(parsed.isNotNull() & F.startswith(F.ltrim(F.regexp_replace(raw, r"\s+", " ")), F.lit("{")), F.lit(False))
+    return F.struct(F.when(good, F.to_json(parsed)).alias("object"), F.when(~good, F.lit("llm_json_parse_failed")).alias("error"))
+
+
 def filled_content(content: Column | str, images: Column | str, embeds: Column | str, attachments: Column | str) -> Column:
     """A missing body from inline images, else embeds, else attachments, as a list of labels."""
 

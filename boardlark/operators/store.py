@@ -47,14 +47,15 @@ class Files:
             stream.close()
 
     def replace(self, p: str, text: str) -> None:
-        """Written aside and renamed over the old file."""
+        """Written aside and renamed over the old file in one step, so a reader finds the old text or the new one."""
         aside = f"{p}.{uuid.uuid4().hex}"
         stream = self.fs.create(self.path(aside))
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self.exists(p):
-            self.delete(p)
-        self.fs.rename(self.path(aside), self.path(p))
+        overwrite = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        self.jvm.java.lang.reflect.Array.set(overwrite, 0, getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf())
+        context.rename(self.path(aside), self.path(p), overwrite)
 
 
 class Lock:
@@ -100,8 +101,9 @@ def nested(notices: DataFrame, child: DataFrame, value: str, to: str) -> DataFra
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
+        """keep: generations that stay besides the current one, for readers that have opened them."""
+        self.spark, self.root, self.files, self.keep = spark, root.rstrip("/"), Files(spark, root), keep
 
     def publish(self, notices: DataFrame, min_records: int = 1, min_retain_ratio: float = 0.5, old_count: int | None = None, taxonomy: Taxonomy = UNIVERSITY) -> int:
         """Writes notices (classified and searchable, ids suffixed) and their facet cube as a new generation and makes it current.  On any failure the old
@@ -118,12 +120,13 @@ class Store:
                 raise StoreError("a suffixed id meets another notice's own id")
             cube(rows, taxonomy).write.parquet(f"{where}/facet_cube")
             previous = self._current()
-            self.files.replace(f"{self.root}/current", json.dumps({"generation": name, "version": STORE_VERSION}))
+            older = [g for g in [previous["generation"], *previous.get("older", [])]] if previous else []
+            self.files.replace(f"{self.root}/current", json.dumps({"generation": name, "version": STORE_VERSION, "older": older[: self.keep]}))
         except Exception:
             self.files.delete(where)
             raise
-        if previous:
-            self.files.delete(f"{self.root}/{previous['generation']}")
+        for g in older[self.keep :]:
+            self.files.delete(f"{self.root}/{g}")
         return n
 
     def _current(self) -> dict | None:

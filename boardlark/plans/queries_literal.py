@@ -391,3 +391,24 @@ _functions("reply_lists", lambda x: repr(rag.parse_list(x)), [('```json\n["a", 2
 _functions("reply_triage", lambda x: (lambda t: None if t is None else f"{t.mode} {'|'.join(t.keywords)}")(rag.parse_triage(x, False)), [('{"mode":"HISTORY","keywords":["x"]}', "search x"), ("[]", "out_of_domain "), ("?", None)])
 _functions("reply_text", lambda x: rag.output_text(json.loads(x)), [('{"output": [{"content": [{"text": "a"}, {"text": "b"}]}]}', "a\nb")])
 _functions("asset_url_safe", lambda x: str(A.safe_url(x)), [("ftp://e.test/", "False"), ("http://localhost/", "False"), ("http://10.0.0.1/", "False"), ("https://o.test/", "True")])
+
+
+def _refreshed(spark: SparkSession) -> DataFrame:
+    posts = [(0, "u0", "old", "old", None, "b"), (1, "u1", "written", "old", "success", "b"), (2, "u2", "old", "old", None, None), (3, "u3", "old", "old", None, "b"), (4, "u4", "old", "old", None, "b"), (5, "u5", "old", "old", None, "b")]
+    pages = [("u0", True, "new"), ("u1", True, "new"), ("u2", True, "new"), ("u3", False, None), ("u4", True, " ")]
+    return enrich.refreshed_posts(spark.createDataFrame(posts, "_ord long, original_url string, content string, content_original string, status string, board string"), spark.createDataFrame(pages, "original_url string, html_found boolean, fresh string"))
+
+
+@expected("ord long, content string, original string, outcome string", (0, "new", "new", "succeeded"), (1, "written", "new", "preserved_enriched"), (2, "old", "old", "skipped_no_board"), (3, "old", "old", "failed_fetch"), (4, "old", "old", "failed_parse"), (5, "old", "old", "failed_fetch"))
+def refresh_posts(spark, d):
+    return _refreshed(spark).select(F.col("_ord").alias("ord"), "content", F.col("content_original").alias("original"), "outcome")
+
+
+@expected("total long, succeeded long, preserved_enriched long, failed_fetch long, failed_parse long, skipped_no_board long", (6, 2, 1, 2, 1, 1))
+def refresh_counters(spark, d):
+    return enrich.refresh_counts(_refreshed(spark))
+
+
+@expected("i int, object string, error string", (0, '{"a":1}', None), (1, None, "llm_json_parse_failed"), (2, None, "llm_json_parse_failed"), (3, None, "llm_json_parse_failed"))
+def reply_objects(spark, d):
+    return _texts(spark, ' {"a": 1}', "[1]", "{a", None).select("i", enrich.reply_object("x").alias("r")).select("i", "r.object", "r.error")

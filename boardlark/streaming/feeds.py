@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from boardlark.operators.dedup import merge, prune
-from boardlark.operators.store import StoreError, guard
+from boardlark.operators.store import Lock, StoreError, guard
 
 
 def file_stream(spark: SparkSession, path: str, schema, most_files: int = 100) -> DataFrame:
@@ -43,6 +44,9 @@ def merge_cycle(read: Callable[[], DataFrame], publish: Callable[[DataFrame], No
     def run(batch: DataFrame, _: int) -> None:
         old = read()
         merged, _counts = merge(old, batch)
+        # One order for the next cycle: what was there keeps its numbers, new posts go on behind them.
+        after = (old.agg(F.max("_ord")).first()[0] or 0) + 1
+        merged = merged.withColumn("_ord", F.when(F.col("_ord._src") == 0, F.col("_ord._ord")).otherwise(F.col("_ord._ord") + after))
         kept = prune(merged, today)
         try:
             guard(kept.count(), prune(old, today).count(), min_records, min_retain_ratio)
@@ -51,3 +55,29 @@ def merge_cycle(read: Callable[[], DataFrame], publish: Callable[[DataFrame], No
         publish(kept)
 
     return run
+
+
+def scheduled(cycle: Callable[[], None], interval_seconds: float, lock: Lock, run_on_startup: bool = True, rounds: int | None = None, sleep: Callable[[float], None] = time.sleep) -> list[str]:
+    """Runs a cycle at fixed intervals, one scheduler at a time: without the lock nothing runs.  A cycle that fails leaves the last good state and is tried
+    again at the next interval.  rounds: intervals to run, without end by default; the outcomes of the cycles are returned."""
+    done: list[str] = []
+
+    def once() -> None:
+        try:
+            cycle()
+            done.append("published")
+        except Exception as e:  # the last good state stays, the schedule goes on
+            done.append(f"failed:{type(e).__name__}")
+
+    if not lock.acquire():
+        return ["locked"]
+    try:
+        if run_on_startup:
+            once()
+        while rounds is None or rounds > 0:
+            sleep(max(1, interval_seconds))
+            once()
+            rounds = rounds if rounds is None else rounds - 1
+    finally:
+        lock.release()
+    return done

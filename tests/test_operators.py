@@ -169,6 +169,11 @@ def test_store(spark, tmp_path, corpus):
     assert store.notices().count() == 5
     with pytest.raises(StoreError):
         store.publish(rows.withColumn("id", F.when(F.col("id") == "cs", "graduate").when(F.col("id") == "common-general", "graduate-2").otherwise(F.col("id"))))
+    for k in range(4):  # generations besides the current one stay for their readers, older ones go
+        opened = store.notices()
+        store.publish(rows)
+        assert opened.count() == 5
+    assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("gen-")]) == 3
     cells, group = store.facets("전 구성원 공통", "학사")
     assert group == "학사" and cells["source_groups"] == ["일반", "학사"] and store.facets("전 구성원 공통", "공과대")[1] is None
     with pytest.raises(StoreError):

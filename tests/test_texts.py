@@ -192,3 +192,37 @@ def test_lock(spark, tmp_path):
     a.release()
     assert b.acquire()
     b.release()
+
+
+def test_schedule(spark, tmp_path):
+    from boardlark.operators.store import Lock
+
+    seen, waits = [], []
+
+    def cycle():
+        seen.append(1)
+        if len(seen) == 2:
+            raise ValueError
+
+    lock = Lock(spark, f"file://{tmp_path}/schedule")
+    assert feeds.scheduled(cycle, 0, lock, rounds=2, sleep=waits.append) == ["published", "failed:ValueError", "published"] and waits == [1, 1]
+    assert feeds.scheduled(cycle, 5, lock, run_on_startup=False, rounds=0) == [] and lock.acquire()
+    assert feeds.scheduled(cycle, 5, Lock(spark, f"file://{tmp_path}/schedule"), rounds=1) == ["locked"]
+
+
+def test_merge_cycle_keeps_the_last_state_if_refused(spark):
+    from boardlark.schemas import POSTS
+
+    base = {"source_name": [], "source_type": [], "category_raw": [], "attachments": [], "is_permanent_notice": False, "published_at": "2026-05-01"}
+    make = lambda *urls: spark.createDataFrame([base | {"_ord": k, "original_url": f"https://e.test/{u}", "title": u} for k, u in enumerate(urls)], POSTS)
+    state = [make("a")]
+    run = feeds.merge_cycle(lambda: state[-1], state.append, "2026-05-15")
+    run(make("a", "b"), 0)
+    assert sorted(r["title"] for r in state[-1].collect()) == ["a", "b"] and len(state) == 2
+    feeds.merge_cycle(lambda: state[-1], state.append, "2026-05-15", min_records=9)(make("c"), 1)
+    assert len(state) == 2
+
+
+def test_sequence_and_permanent_first(spark):
+    items = spark.createDataFrame([("b", 1, 0, False), ("b", 1, 1, True), ("a", 1, 0, False)], "board string, page int, pos int, is_permanent_notice boolean")
+    assert [(r["board"], r["pos"]) for r in crawl.permanent_first(items).collect()] == [("a", 0), ("b", 1), ("b", 0)]
