@@ -9,7 +9,8 @@ Encoding: a text is pre-split as the vocabulary's file says; over the bytes of a
 each byte, longest first, and the automaton's table tells the one that may follow the path so far.  Time is linear in the word's length.
 
 Cases: null text counts as empty; empty text has no ids; a special token's string in a text becomes that token; ids outside the vocabulary
-decode to nothing; bytes that aren't UTF-8 after decoding become U+FFFD.
+decode to nothing; bytes that aren't UTF-8 after decoding become U+FFFD; repeated rows are encoded each; very long texts are encoded whole, one at a time; an
+empty table gives no rows; an added column takes the place of an equally named one; a vocabulary whose file asks for a normaliser or another splitting is refused.
 """
 
 from __future__ import annotations
@@ -208,21 +209,34 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = tuple(self.automaton.walk(word.encode()))
+        if len(self.automaton.pairs) >= CACHE_PAIRS:
+            self.automaton.ready()
         if len(word) <= CACHE_BYTES:
             if len(self) >= CACHE_WORDS:
                 self.clear()
-            if len(self.automaton.pairs) >= CACHE_PAIRS:
-                self.automaton.ready()
             self[word] = ids
         return ids
 
 
+def _refuse_others(spec: dict) -> None:
+    """Raises ValueError for settings that would give other ids than this encoder's."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [f"model {k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += ["model type"] * (model.get("type") not in (None, "BPE")) + ["normalizer"] * bool(spec.get("normalizer"))
+    odd += ["pre_tokenizer"] * (split.get("type") != "ByteLevel" or bool(split.get("add_prefix_space")) or split.get("use_regex") is False)
+    odd += ["decoder"] * ((spec.get("decoder") or {}).get("type") != "ByteLevel")
+    odd += sorted({f"added token's {k}" for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip") if x.get(k)})
+    if odd:
+        raise ValueError(f"this vocabulary needs more than byte-level merges: {', '.join(odd)}")
+
+
 class Tokenizer:
     """A byte-level BPE vocabulary in the JSON form of public tokenizers."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _refuse_others(spec)
         model, letters = spec["model"], byte_letters()
         to_bytes = lambda s: bytes(letters[c] for c in s)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}

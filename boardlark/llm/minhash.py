@@ -14,8 +14,8 @@ bucket; (3) in large buckets, what is outside the bucket's largest component aga
 would join two components is left out, and a group of n mutual copies costs about n confirmations.
 
 Cases: null and empty texts have no shingles and are linked with nothing; texts of fewer words than a shingle are one shingle; rows with one doc_id
-count as one document; a null doc_id gets no component of its own (null) unless an equal set gives it one, and is kept; ties of ids can't occur
-otherwise; an empty table gives no rows.
+count as one document; a null doc_id has no component of its own (null, and is kept) unless an equal set gives it one (and isn't kept); very long
+texts are read whole, and their sets fill a block by themselves; ties of ids can't occur otherwise; an empty table gives no rows; columns may have any names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from boardlark.llm.shared import Scratch, arrow_pass, lists, mix64, utf8
+from boardlark.llm.shared import Scratch, arrow_pass, fresh, lists, mix64, utf8
 
 BANDS, ROWS = 48, 7
 T = BANDS * ROWS
@@ -37,8 +37,8 @@ T = BANDS * ROWS
 SIMILAR = 80
 #: Buckets up to this size are paired within; larger ones go by rounds.
 SMALL = 8
-#: Nodes in one side of a block.
-BLOCK = 256
+#: Nodes and shingles in one side of a block, about.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLD)
@@ -235,12 +235,16 @@ def near_duplicates(df: DataFrame, words: int = 5, similar: int = SIMILAR, id_co
     comp = _joined(comp, _confirmed(pairs, sets, similar), scratch, "second")
 
     # (3) large buckets that still hold several components, in blocks
-    large = mixed.where(f"m > {SMALL}").select("key", "node").join(comp, "node")
-    by_comp = large.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    shape = by_comp.groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("main")).where("all > main.k")
-    shape = shape.select("key", F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.k")) / BLOCK).alias("firsts"), F.ceil(F.col("all") / BLOCK).alias("seconds"))
+    # Of buckets with the same members one is enough, and a block holds a bounded number of shingles, so that sets of any size fit.
+    large = mixed.where(f"m > {SMALL}").select("key", "node", "most")
+    same = large.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64("node", F.lit(7)).cast("decimal(38,0)")).alias("b"))
+    large = large.join(same.groupBy("n", "a", "b").agg(F.min("key").alias("key")).select("key"), "key").join(comp, "node")
+    by_comp = large.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("most").alias("s"))
+    shape = by_comp.groupBy("key").agg(F.sum("k").alias("all"), F.sum("s").alias("size"), F.max(F.struct("k", "comp", "s")).alias("main")).where("all > main.k")
+    parts = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES))
+    shape = shape.select("key", F.col("main.comp").alias("main"), parts(F.col("all") - F.col("main.k"), F.col("size") - F.col("main.s")).alias("firsts"), parts(F.col("all"), F.col("size")).alias("seconds"))
     shape = scratch.table(shape, "shape")
-    part = large.join(shape, "key")
+    part = large.drop("most").join(shape, "key")
     spread = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
     outside = part.where("comp <> main").select("key", "node", "comp", F.lit(0).alias("side"), spread(1, "firsts").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("seconds") - 1)).alias("j"))
     whole = part.select("key", "node", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("firsts") - 1)).alias("i"), spread(2, "seconds").alias("j"))
@@ -249,9 +253,24 @@ def near_duplicates(df: DataFrame, words: int = 5, similar: int = SIMILAR, id_co
     comp = _joined(comp, links, scratch, "third", contracted=True)
 
     found = nodes.select(*name, "node").join(comp, "node", "left").select(*name, F.coalesce("comp", "node").alias("component"))
+    scratch.only("sketched", "nodes", "comp-third")
     out = known.drop("bands").join(found, name, "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.expr("doc_id <=> component_id OR doc_id IS NULL"))
+    return out.withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+def one_of_each(df: DataFrame, words: int = 5, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df without near copies: of each group of linked rows the one with the smallest id stays (a null id last).  Rows are told apart by
+    themselves, so repeated rows, equal ids with different texts and null ids are each judged by their text; texts without words all stay."""
+    row = fresh(df.columns, "_row")
+    scratch = Scratch(df.sparkSession, "copies")
+    rows = scratch.table(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    linked = near_duplicates(rows.select(row, F.col(text_col)), words, similar, row, text_col)
+    linked = linked.groupBy("component_id").agg(F.count("*").alias("_n")).where("_n > 1").select("component_id").join(linked, "component_id")
+    ids = linked.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, F.col(id_col).alias("_id")), row)
+    stays = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", row)).alias("s")).select(F.col(f"s.{row}").alias(row))
+    gone = scratch.table(ids.select(row).join(stays, row, "left_anti"), "gone")
+    return rows.join(gone, row, "left_anti").select(*df.columns)
 
 
 def _joined(comp: DataFrame, links: DataFrame, scratch: Scratch, name: str, contracted: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ With `whole`, probabilities themselves are fitted (fit_whole): cells capped at 1
 budget is lowered where the targets can't be met at it, so that the expected sample has the target shares.  Without it, capped cells miss them.
 
 Cases: null labels are a value of their own; null and empty texts have no tokens and are kept, as they cost nothing; a null id is hashed as the empty
-string; an empty table gives no rows; where a marginal can't be met because a cell is empty or capped at 1, the nearest fit of the last round stands.
+string; repeated rows are drawn alike; very long texts count whole; an empty table gives no rows; columns of the input may have any names; where a marginal can't be met because a cell is empty or capped at 1, the nearest fit of the last round stands.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ POWER = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 ROUNDS = 10
 #: Share of all tokens that a sample is expected to hold.
 BUDGET = 0.8
+#: For the fit of probabilities the budget isn't lowered below this share for targets that contradict each other; the nearest fit stands then.
+LEAST_BUDGET = 0.5
 SEED = "mix-1"
-#: The topic of a text, first match wins.
-TOPIC = """CASE WHEN contains(lower(text), 'licen') THEN 'legal' WHEN contains(text, '|') THEN 'tabular' WHEN contains(text, '@') THEN 'contact'
+#: The topic of a text, first match wins; the marks that redaction leaves count as what they stand for.
+TOPIC = """CASE WHEN contains(lower(text), 'licen') THEN 'legal' WHEN contains(text, '|') THEN 'tabular' WHEN contains(text, '@') OR contains(text, '[EMAIL]') OR contains(text, '[PHONE]') THEN 'contact'
 WHEN contains(text, '!!') OR contains(text, '%%%') OR contains(text, '###') THEN 'noisy' ELSE 'prose' END"""
 TOKENS = "CAST(ceil(coalesce(octet_length(text), 0) / 4) AS BIGINT)"
 
@@ -72,10 +74,11 @@ def fit(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
     return cells.select(*[f"_{d}" for d in DIMENSIONS], "weight", "probability")
 
 
-def bounded(tokens: np.ndarray, groups: list[np.ndarray], shares: list[np.ndarray], budget: float, rounds: int = 300, near: float = 1e-4) -> np.ndarray | None:
+def bounded(tokens: np.ndarray, groups: list[np.ndarray], shares: list[np.ndarray], budget: float, rounds: int = 300, near: float = 1e-4) -> np.ndarray:
     """Probabilities of cells, such that in each dimension the expected tokens have the given shares (groups: each cell's value; shares: of each value,
-    which sum to 1).  The budget is the largest share of all tokens up to `budget` at which the fit is found; none is found where targets contradict."""
-    total, p = tokens.sum(), np.zeros(len(tokens))
+    which sum to 1).  The budget is the largest share of all tokens up to `budget` at which the fit is found, LEAST_BUDGET at least; if none is found there,
+    its last round stands."""
+    total = tokens.sum()
     members = [[np.flatnonzero(g == v) for v in range(len(a))] for g, a in zip(groups, shares)]
     most = min([budget, *(tokens[m].sum() / (total * x) for ms, a in zip(members, shares) for m, x in zip(ms, a) if x > 0)])
 
@@ -90,7 +93,7 @@ def bounded(tokens: np.ndarray, groups: list[np.ndarray], shares: list[np.ndarra
         out[order] = np.minimum(t, max(0.0, scale[fits[0]]) * w) if len(fits) else t
         return out
 
-    def at(b: float) -> np.ndarray | None:
+    def at(b: float, nearest: bool = False) -> np.ndarray | None:
         w = tokens * b
         for _ in range(rounds):
             for ms, a in zip(members, shares):
@@ -98,12 +101,15 @@ def bounded(tokens: np.ndarray, groups: list[np.ndarray], shares: list[np.ndarra
                     w[m] = fill(w[m], tokens[m], b * total * x)
             if all(np.abs(np.bincount(g, w, len(a)) / (b * total) - a).max() <= near for g, a in zip(groups, shares)):
                 return w / tokens
-        return None
+        return w / tokens if nearest else None
 
-    low, high = 0.0, most
-    found = at(high)
+    low, high = min(LEAST_BUDGET, budget), most
+    found = at(high) if high >= low else None
     if found is not None:
         return found
+    p = at(low) if high >= low else None
+    if p is None:
+        return at(low, True)
     for _ in range(12):
         middle = (low + high) / 2
         found = at(middle)
@@ -111,12 +117,11 @@ def bounded(tokens: np.ndarray, groups: list[np.ndarray], shares: list[np.ndarra
             high = middle
         else:
             low, p = middle, found
-    return p if low else None
+    return p
 
 
 def fit_whole(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
-    """As fit(), with probabilities that keep the target shares.  The cells, one row each, are fitted on the driver.  Where targets contradict each other
-    fit() stands."""
+    """As fit(), with probabilities that keep the target shares.  The cells, one row each, are fitted on the driver."""
     names = [f"_{d}" for d in DIMENSIONS]
     cells = docs.groupBy(*names).agg(F.sum("_tokens").alias("tokens"))
     rows = cells.collect()
@@ -133,8 +138,6 @@ def fit_whole(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budg
         groups.append(group)
         shares.append(share / share.sum() if share.sum() > 0 else share)
     p = bounded(tokens, groups, shares, budget) if held else np.zeros(0)
-    if p is None:
-        return fit(docs, targets, budget)
     out = [(*(r[n] for n in names), float(r["tokens"] * x), float(min(1.0, x))) for r, x in zip(held, p)]
     out += [(*(r[n] for n in names), 0.0, 1.0) for r in rows if not r["tokens"]]
     return docs.sparkSession.createDataFrame(out, ", ".join(f"{n} string" for n in names) + ", weight double, probability double")
@@ -153,6 +156,9 @@ def mixed(df: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
     return docs.join(cells, [f"_{d}" for d in DIMENSIONS]).withColumn("selected", draw(id_col) < F.col("probability"))
 
 
-def sample(df: DataFrame, **options) -> DataFrame:
-    """The selected rows, with the columns of df."""
-    return mixed(df, **options).where("selected").select(*df.columns)
+def sample(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The selected rows, with the columns of df, whatever their names: the row travels as one value beside what is computed."""
+    if not {"source", "lang", "text", id_col} <= set(df.columns):
+        raise ValueError("a sample needs the columns source, lang, text and the id")
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), "source", "lang", "text", F.col(id_col).alias("doc_id"))
+    return mixed(whole, **options).where("selected").select("_row.*")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from boardlark.llm import minhash, queries, raking, token_rollup, toxicity
+from boardlark.llm import minhash, queries, raking, shared, token_rollup, toxicity
 from boardlark.llm.shared import Scratch, held_out
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -86,7 +86,7 @@ def test_near_duplicates_odd_rows(odd, empty):
     for r in out:
         by[r["doc_id"]].append(r)
     assert by[5][0]["component_id"] == 1 and not by[5][0]["kept"] and by[2][0]["component_id"] == 2 and by[2][0]["n_shingles"] == 0
-    assert by[7][0]["n_shingles"] == 1 and by[None][0]["kept"]
+    assert by[7][0]["n_shingles"] == 1 and by[None][0]["kept"] and by[None][0]["component_id"] is None
 
 
 def test_sketch_fills_and_concentrates():
@@ -321,9 +321,64 @@ def test_pipeline_stages(spark, sf, docs):
 
 
 def test_pipeline_odd_rows(spark, odd, empty, sf):
-    for rows in (odd, empty):
-        rows = rows.select("doc_id", "text", "lang", "source", "n_chars")
-        for _, stage in corpus_pipeline.STAGES:
+    """Extra columns with clashing names pass through; rows are judged each; nothing but copies and sampled-out rows goes."""
+    clash = odd.withColumns({"weight": F.lit(1.5), "probability": F.lit("p"), "_tokens": F.lit(7), "evidence": F.lit("e"), "_row": F.lit(0)})
+    for rows in (clash, clash.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, rows, sf)
-            out.collect()
-            rows = out if "text" in out.columns else rows
+            got = out.collect()
+            if name == "encoding":
+                assert len(got) == rows.count() and set(out.columns) == {"doc_id", "lang", "source", "token_ids", "n_tokens", "decoded_sha256"}
+                assert all(r["n_tokens"] == 0 for r in got if r["doc_id"] in (2, 3))
+                break
+            assert out.columns == clash.columns
+            before = rows.collect()
+            if name == "near_copies":  # ids 1, 5 and 5 have one text, and ids 2, 3 and 6 no word
+                texts = [r["text"] for r in before if (r["text"] or "").strip()]
+                assert len(got) == len(before) - len(texts) + len(set(texts)) and {r["text"] for r in got} == {r["text"] for r in before}
+            elif name == "personal_data":
+                assert len(got) == len(before)
+                assert {r["text"] for r in got if r["doc_id"] == 8} <= {"mail [EMAIL], call [PHONE], card [CARD], host 10.0.0.256 or [IP]"}
+            elif name == "toxicity":
+                assert {2, 3, 6} <= {r["doc_id"] for r in got} or not before
+            assert all((r["score"], r["weight"], r["probability"], r["_tokens"], r["evidence"], r["_key"], r["_row"]) == (0.5, 1.5, "p", 7, "e", "k", 0) for r in got)
+            rows = out
+
+
+def test_one_of_each_judges_rows(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, text), (None, text), (3, text), (3, text), (3, "another text of quite different words than the first"), (None, "a lone text without any id of its own here"), (2, ""), (2, None)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, _row string")
+    got = minhash.one_of_each(df).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["_row"]) for r in got) == sorted([(3, text, "x"), (3, rows[4][1], "x"), (0, rows[5][1], "x"), (2, "", "x"), (2, "", "x")])
+    assert minhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_null_ids(spark):
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([(None, text), (1, text), (None, "a lone text without any id")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash.near_duplicates(df).collect()) == [(0, 0, True), (0, 1, False), (1, 1, True)]
+
+
+def test_scratch_folder_and_session_settings(spark, sf, docs):
+    """No operator changes the session's settings; without a shared folder a local session gets its own and a cluster an error."""
+    before = {r["key"]: r["value"] for r in spark.sql("SET").collect()}
+    for name in ("op3_toxicity", "op8_langid", "op10_raking"):
+        queries.QUERIES[name](spark, sf).count()
+    assert {r["key"]: r["value"] for r in spark.sql("SET").collect()} == before
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        applicationId = "app"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    Context.master = "local[2]"
+    assert shared.scratch_root(Session()).startswith("file:")
+    for Context.master in ("local-cluster[2,1,1024]", "spark://h:7077", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.scratch_root(Session())

@@ -41,6 +41,9 @@ def test_pii_validators_and_context():
     assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE88370400440532013000")
     kinds = lambda t: [x[0] for x in pii.find(t)]
     assert "iban" in kinds("account GB82 WEST 1234 5698 7654 32 please") and "iban" not in kinds("account GB83 WEST 1234 5698 7654 32")
+    for t in ("BE68 5390 0754 7034 EUR", "pay GB82WEST12345698765432 FROM HIM", "NO93 8601 1117 947"):
+        assert kinds("iban " + t) == ["iban"], t
+    assert "iban" not in kinds("iban BE68 5390 0754 703") and "iban" not in kinds("iban BE68 5390 0754 70345")
     assert kinds("my social security number 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
     near, far, against = (pii.score(t, "card", t.index("4"), len(t)) for t in ("card 4111", "xyz 4111", "order 4111"))
     assert against < far < near
