@@ -23,7 +23,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four batches over the whole table: a quick estimate at loading, the exact counts as revisions, word counts under a second version, and the
-    removal of exact copies.  The second is committed twice, to no effect."""
+    removal of exact copies: all rows are deleted and of each text the row of the smallest id (a null id last) is inserted again, in one batch.  The second is
+    committed twice, to no effect."""
     scratch = Scratch(spark, "rollup")
     docs = read(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -33,21 +34,30 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("long").alias("words"),
         F.sha2(text.cast("binary"), 256).alias("name"),
     )
+    return token_rollup_of(docs, scratch)
+
+
+def token_rollup_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """op2's batches over rows of doc_id, text, source, lang, estimate, words and name (of the text)."""
+    spark = docs.sparkSession
     counted = scratch.table(token_rollup.rank_tokens(docs, tokenizer_path("byte_bpe_50k.tiktoken"), keep=["doc_id", "source", "lang", "estimate", "words", "name"]), "counted")
-    first = counted.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    copies = scratch.table(counted.join(first, ["name", "doc_id"], "left_anti"), "copies")
+    stays = counted.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang", "n_tokens", "words")).alias("s")).select("s.*")
 
     def changes(rows: DataFrame, op: str, tokenizer: str, n: str, old: str | None = None) -> DataFrame:
         return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(n).alias("n_tokens"), (F.col(old) if old else F.lit(None).cast("long")).alias("old_tokens"))
 
+    def both(rows: DataFrame, op: str) -> DataFrame:
+        return changes(rows, op, "byte_bpe_50k", "n_tokens").union(changes(rows, op, "words", "words"))
+
     store = token_rollup.RollupStore(spark, f"{scratch.root}/store")
     exact = changes(counted, token_rollup.REVISE, "byte_bpe_50k", "n_tokens", "estimate")
     store.commit("0001-load", changes(counted, token_rollup.INSERT, "byte_bpe_50k", "estimate"))
     store.commit("0002-exact", exact)
     store.commit("0003-words", changes(counted, token_rollup.INSERT, "words", "words"))
     store.compact()
-    store.commit("0004-copies", changes(copies, token_rollup.DELETE, "byte_bpe_50k", "n_tokens").union(changes(copies, token_rollup.DELETE, "words", "words")))
+    store.commit("0004-copies", both(counted, token_rollup.DELETE).union(both(stays, token_rollup.INSERT)))
     store.commit("0002-exact", exact)
+    scratch.only("store")
     return store.totals().select("source", "lang", "tokenizer", F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
 
 

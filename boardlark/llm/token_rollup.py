@@ -1,20 +1,32 @@
 """Token counts as delta-maintained rollups.
 
 A change inserts a document's count, deletes it, or revises it from an old to a new number.  A batch of changes is added up by source, language and
-tokenizer version into signed deltas and committed under its id, once: its table is written aside and renamed, and a batch whose id is committed is
-skipped.  Totals are the sum of all committed deltas.  compact() folds committed batches into a snapshot and remembers their ids.
+tokenizer version into signed deltas and committed under its id, once.  Totals are the sum of all committed deltas.
 
-The store lies in a folder that driver and executors share; a batch whose writing was cut off leaves only a folder aside that is never read.
+Commit.  A batch's deltas are written to a folder of their own under `live`; the commit is the creation of the file `ids/<batch>`, which the file system
+grants to one writer only, and which names that folder and holds a digest of its deltas.  A batch that is committed again is skipped if its deltas are the
+same and is an error if they aren't.  Folders that no id names (a writer was lost) are never read.
 
-Cases: null labels are a group of their own; null counts are 0; a group that comes to no documents and no tokens leaves the totals; an empty batch
-commits and changes nothing.
+Compaction.  compact() writes the sum of all committed deltas aside and creates the next file in `snapshots`, again granted to one writer only; it names the
+table and the folders that it holds.  Only who has created it deletes, and only what the snapshot before it had replaced, so that readers have the time
+of one compaction; ids stay for good.  Readers list `live` before they look for the newest snapshot, so that a folder is counted once, in the snapshot or by
+itself.
+
+The store lies in a folder that driver and executors share, on a file system that creates files exclusively (HDFS and local ones do).
+
+Cases: null labels are a group of their own; null counts are 0; an unknown op is an error; a group that comes to no documents and no tokens leaves the
+totals; an empty batch commits and changes nothing; equal changes in one batch count each; a revision or deletion of what was never inserted is
+booked as given, unless verified() has taken it out; a batch id holds letters, digits, `_` and `-`; columns besides those named are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -29,73 +41,120 @@ INSERT, DELETE, REVISE = "insert", "delete", "revise"
 def deltas(changes: DataFrame) -> DataFrame:
     """The signed deltas of changes (op, source, lang, tokenizer, n_tokens, and old_tokens for a revision)."""
     n, old = F.coalesce("n_tokens", F.lit(0)), F.coalesce("old_tokens", F.lit(0))
-    docs = F.when(F.col("op") == INSERT, 1).when(F.col("op") == DELETE, -1).otherwise(0)
-    tokens = F.when(F.col("op") == INSERT, n).when(F.col("op") == DELETE, -n).when(F.col("op") == REVISE, n - old).otherwise(0)
+    op = F.when(F.col("op").isin(INSERT, DELETE, REVISE), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce("op", F.lit("null")))))
+    docs = F.when(op == INSERT, 1).when(op == DELETE, -1).otherwise(0)
+    tokens = F.when(op == INSERT, n).when(op == DELETE, -n).otherwise(n - old)
     return changes.groupBy(*KEYS).agg(F.sum(docs.cast("bigint")).alias("docs"), F.sum(tokens.cast("bigint")).alias("tokens"))
 
 
+def verified(changes: DataFrame, ledger: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(changes that fit, changes that don't): revisions and deletions need a row of the ledger (id, keys, n_tokens: what is counted now) with the old
+    number, insertions need that there is none.  A null id fits nothing but an insertion."""
+    keys = [id_col, "source", "lang", "tokenizer"]
+    now = ledger.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce("n_tokens", F.lit(0)).alias("_now")).distinct()
+    same = (F.col(id_col) == F.col(f"_{id_col}")) & F.expr(" AND ".join(f"{k} <=> _{k}" for k in keys[1:]))
+    both = changes.join(now, same, "left")
+    was = F.coalesce(F.when(F.col("op") == REVISE, F.col("old_tokens")).otherwise(F.col("n_tokens")), F.lit(0))
+    fits = F.when(F.col("op") == INSERT, F.col("_now").isNull()).otherwise(F.coalesce(F.col("_now") == was, F.lit(False)))
+    return both.where(fits).select(*changes.columns), both.where(~fits).select(*changes.columns)
+
+
 class RollupStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for d in ("batches", "snapshots", "aside"):
+        for d in ("ids", "live", "snapshots", "sums"):
             self._fs.mkdirs(self._path(f"{self.root}/{d}"))
 
     def _names(self, folder: str) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{folder}")))
-
-    def _publish(self, df: DataFrame, where: str) -> bool:
-        aside = f"{self.root}/aside/{uuid.uuid4().hex}"
-        df.coalesce(1).write.parquet(aside)
-        done = not self._fs.exists(self._path(where)) and self._fs.rename(self._path(aside), self._path(where))
-        if not done:
-            self._fs.delete(self._path(aside), True)
-        return done
-
-    def _snapshot(self) -> tuple[str | None, set[str]]:
-        names = self._names("snapshots")
-        if not names:
-            return None, set()
-        last = f"{self.root}/snapshots/{names[-1]}"
-        return last, {r["batch"] for r in self.spark.read.parquet(last).where("batch IS NOT NULL").select("batch").collect()}
+        return sorted(n for s in self._fs.listStatus(self._path(f"{self.root}/{folder}")) if not (n := s.getPath().getName()).startswith((".", "_")))
+
+    def _create(self, file: str, content: dict) -> bool:
+        """Creates a file that must not exist; False if it does.  A file without an end is of a writer that was lost, and is taken over."""
+        path = self._path(f"{self.root}/{file}")
+        try:
+            stream = self._fs.create(path, False)
+        except Py4JJavaError:
+            if self._fs.exists(path) and self._read(file) is not None:
+                return False
+            if not self._fs.exists(path):
+                raise
+            stream = self._fs.create(path, True)
+        stream.write(bytearray(json.dumps(content).encode()))
+        stream.close()
+        return True
+
+    def _read(self, file: str) -> dict | None:
+        path = self._path(f"{self.root}/{file}")
+        if not self._fs.exists(path):
+            return None
+        stream = self._fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
+    def _drop(self, folder: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+
+    def _table(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(DELTA).parquet(*[f"{self.root}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], DELTA)
 
     def committed(self) -> list[str]:
         """The ids of all committed batches."""
-        return sorted({*self._names("batches"), *self._snapshot()[1]})
+        return [b for b in self._names("ids") if self._read(f"ids/{b}")]
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Commits a batch; False, without reading the changes, if it had been committed."""
-        return batch not in self.committed() and self._publish(deltas(changes), f"{self.root}/batches/{batch}")
-
-    def _added(self) -> tuple[DataFrame, set[str]]:
-        snapshot, folded = self._snapshot()
-        fresh = [b for b in self._names("batches") if b not in folded]
-        parts = [self.spark.createDataFrame([], DELTA)]
-        if snapshot:
-            parts.append(self.spark.read.parquet(snapshot).where("batch IS NULL").drop("batch"))
-        if fresh:
-            parts.append(self.spark.read.schema(DELTA).parquet(*[f"{self.root}/batches/{b}" for b in fresh]))
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
+        """Commits a batch; False if it had been committed with the same deltas, ValueError if with others."""
+        if not re.fullmatch("[A-Za-z0-9_-]+", batch):
+            raise ValueError(f"not a batch id: {batch!r}")
+        name = f"{batch}.{uuid.uuid4().hex}"
+        deltas(changes).write.parquet(f"{self.root}/live/{name}")
+        seal = self._table([f"live/{name}"]).where("docs <> 0 OR tokens <> 0").agg(F.count("*"), F.sum(F.xxhash64("source", "lang", "tokenizer", "docs", "tokens").cast("decimal(38,0)"))).first()
+        digest = f"{seal[0]}:{seal[1]}"
+        if self._create(f"ids/{batch}", {"folder": name, "digest": digest}):
+            return True
+        self._drop(f"live/{name}")
+        if self._read(f"ids/{batch}")["digest"] != digest:
+            raise ValueError(f"batch {batch} was committed with other changes")
+        return False
+
+    def _state(self) -> tuple[DataFrame, list[str], int, dict]:
+        """The sum of all committed deltas, the folders under `live` that are in it, and the newest snapshot's number and content."""
+        live = self._names("live")  # before the snapshot is looked for
+        numbers = [int(n) for n in self._names("snapshots") if self._read(f"snapshots/{n}")]
+        last = max(numbers, default=0)
+        snapshot = self._read(f"snapshots/{last:09d}") if last else {"sum": None, "folders": []}
+        fresh = [n for n in live if n not in set(snapshot["folders"]) and (self._read(f"ids/{n.partition('.')[0]}") or {}).get("folder") == n]
+        rows = self._table(([f"sums/{snapshot['sum']}"] if snapshot["sum"] else []) + [f"live/{n}" for n in fresh])
         total = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
-        return total, folded | set(fresh)
+        return total, fresh, last, snapshot
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs and tokens."""
-        return self._added()[0]
-
-    def compact(self) -> None:
-        """Folds all committed batches into a new snapshot, which also lists their ids; then drops what it replaces."""
-        total, ids = self._added()
-        before = self._names("snapshots")
-        names = self.spark.createDataFrame([(b,) for b in sorted(ids)], "batch string")
-        self._publish(total.unionByName(names, allowMissingColumns=True), f"{self.root}/snapshots/{len(before) and int(before[-1]) + 1:09d}")
-        for b in ids:
-            self._fs.delete(self._path(f"{self.root}/batches/{b}"), True)
-        for s in before:
-            self._fs.delete(self._path(f"{self.root}/snapshots/{s}"), True)
+        return self._state()[0]
+
+    def compact(self) -> bool:
+        """Folds all committed batches into a new snapshot; False, with nothing deleted, if another compaction came first."""
+        total, fresh, last, before = self._state()
+        name = uuid.uuid4().hex
+        total.write.parquet(f"{self.root}/sums/{name}")
+        still = [n for n in before["folders"] if n in set(self._names("live"))]
+        if not self._create(f"snapshots/{last + 1:09d}", {"sum": name, "folders": still + fresh}):
+            self._drop(f"sums/{name}")
+            return False
+        for n in still:
+            self._drop(f"live/{n}")
+        for n in self._names("snapshots"):
+            if int(n) < last:
+                old = self._read(f"snapshots/{n}")
+                if old:
+                    self._drop(f"sums/{old['sum']}")
+                self._drop(f"snapshots/{n}")
+        return True
 
 
 def rank_tokens(df: DataFrame, ranks_path: str, text: str = "text", keep: list[str] | None = None, to: str = "n_tokens") -> DataFrame:

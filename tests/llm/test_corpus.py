@@ -232,15 +232,73 @@ def test_rollup_is_idempotent_and_exact(spark):
             totals[s, lang] += {"insert": n, "delete": -n, "revise": n - old}[op]
         df = spark.createDataFrame(rows, change)
         assert store.commit(f"b{b}", df) and not store.commit(f"b{b}", df)
+        if b == 1:
+            again = df
         if b == 2:
             store.compact()
-            assert not store.commit("b1", df)
+            assert not store.commit("b1", again)
     assert store.commit("none", spark.createDataFrame([], change))
     assert {(r["source"], r["lang"]): r["tokens"] for r in store.totals().collect()} == dict(totals)
     store.compact()
     assert {(r["source"], r["lang"]): r["tokens"] for r in store.totals().collect()} == dict(totals) and len(store.committed()) == 6
 
 
+CHANGE = "doc_id bigint, op string, source string, lang string, tokenizer string, n_tokens bigint, old_tokens bigint"
+
+
+def rollup_totals(store):
+    return sorted(tuple(r) for r in store.totals().collect())
+
+
+def test_rollup_lost_writers_and_races(spark):
+    """Folders without an id, a compaction that another overtook, one that was lost before deleting, and a repeated id with other content."""
+    store = token_rollup.RollupStore(spark, f"{Scratch(spark, 'r').root}/s")
+    row = lambda n, op="insert": spark.createDataFrame([(1, op, "a", "x", "t", n, None)], CHANGE)
+    token_rollup.deltas(row(99)).write.parquet(f"{store.root}/live/b9.lost")  # a writer lost before its commit
+    assert store.commit("b1", row(5)) and store.commit("b2", row(10)) and rollup_totals(store) == [("a", "x", "t", 2, 15)]
+    with pytest.raises(ValueError, match="other changes"):
+        store.commit("b1", row(6))
+    with pytest.raises(ValueError):
+        store.commit("../b", row(6))
+    with pytest.raises(Exception, match="unknown change"):
+        store.commit("b3", row(1, "upsert"))
+    other = token_rollup.RollupStore(spark, store.root)
+    state = store._state()
+    late = other._state()  # both see the same state
+    store._state = lambda: state
+    assert store.compact()
+    other._state = lambda: late
+    assert not other.compact()  # overtaken: nothing is deleted
+    del store._state, other._state
+    assert rollup_totals(store) == rollup_totals(other) == [("a", "x", "t", 2, 15)]
+    assert store.commit("b4", row(1)) and not store.commit("b2", row(10))
+    store._drop = lambda folder: None  # lost before it deletes
+    assert store.compact() and rollup_totals(other) == [("a", "x", "t", 3, 16)]
+    del store._drop
+    assert other.commit("b5", row(16, "delete")) and other.compact() and rollup_totals(store) == [("a", "x", "t", 2, 0)]
+    assert other.compact() and other.compact() and rollup_totals(store) == [("a", "x", "t", 2, 0)]
+    assert store._names("live") == ["b9.lost"] and store.committed() == ["b1", "b2", "b4", "b5"] and len(store._names("sums")) == 2
+
+
+def test_rollup_verified(spark):
+    ledger = spark.createDataFrame([(1, "a", None, "t", 5)], "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint")
+    changes = spark.createDataFrame([(1, "revise", "a", None, "t", 7, 5), (1, "revise", "a", None, "t", 7, 4), (2, "revise", "a", None, "t", 7, 0), (1, "delete", "a", None, "t", 5, None), (1, "insert", "a", None, "t", 5, None), (None, "insert", "a", None, "t", 5, None)], CHANGE)
+    good, bad = token_rollup.verified(changes, ledger)
+    assert sorted((r["doc_id"] or 0, r["op"], r["old_tokens"] or 0) for r in good.collect()) == [(0, "insert", 0), (1, "delete", 0), (1, "revise", 5)] and bad.count() == 3
+
+
+def test_rollup_odd_rows(spark, odd, empty):
+    def run(rows):
+        rows = rows.select("doc_id", "text", "source", "lang", F.lit(1).cast("long").alias("estimate"), F.lit(2).cast("long").alias("words"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("name"))
+        return queries.token_rollup_of(rows, Scratch(spark, "odd")).collect()
+
+    out = run(odd)
+    texts = {r["text"] or "" for r in odd.collect()}
+    assert sum(r["n_docs"] for r in out if r["tokenizer"] == "words") == len(texts) and any(r["source"] is None or r["lang"] is None for r in out) and run(empty) == []
+    # Of the text of ids 1, 5 and 5 the row of id 1 stays; the text without an id stays too.
+    assert {(r["source"], r["lang"]): r["n_docs"] for r in out if r["tokenizer"] == "words"}["c", "en"] == 2
+
+
 def test_rollup_query_equals_plain_counts(spark, sf, docs):
     from tokenizers import Tokenizer
 
