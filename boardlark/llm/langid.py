@@ -4,11 +4,12 @@ A profile lists the most frequent character n-grams (one to three letters, words
 compared to each language's: the distance is the sum over the document's n-grams of how far each is out of place, and the profile's length for one
 that the profile lacks.  The nearest language wins; the score is one less the ratio of its distance to the next one's.
 
-Letters are folded to lower case and to 63 codes (a to z, and a fixed hash for all others), so an n-gram is a number below 2**20.  Profiles are
-counted over all learnable documents: each task adds up its n-grams by language, Spark adds the tasks.
+Letters of all scripts are folded to lower case and keep their code point, so an n-gram is a number of at most 63 bits.  Profiles are counted over all
+learnable documents: each task adds up its n-grams by language, Spark adds the tasks.
 
-Cases: `und` with score 0 where the text is null or has no letter, or where there is no profile to compare with; ties go to the language that sorts
-first; documents with a null language are predicted but not learned from.
+Cases: `und` with score 0 where the text is null or has no letter, or where there is no profile to compare with; ties of n-grams go to the smaller number, of
+languages to the one that sorts first; documents with a null language are predicted but not learned from; very long texts are read whole; repeated rows count
+and are predicted each; an empty table gives no rows; an added column takes the place of an equally named one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from boardlark.llm.shared import arrow_pass, sliced, utf8
 
@@ -29,39 +30,47 @@ LENGTH = 400
 UNKNOWN = "und"
 #: Code points from here on hold no letters (they are tags and private use).
 _END = 0x32400
-#: Languages whose counts one task holds at once.
-_HELD = 16
+#: Languages, and n-grams of them, whose counts one task holds at once.
+_HELD, _HELD_GRAMS = 16, 2_000_000
+#: Bits of a code point, and the number that stands for a blank, below all letters.
+_BITS, _BLANK = 21, 1
 
 
 @lru_cache(1)
 def letter_codes() -> np.ndarray:
-    """Code point to 1 to 63 for letters, 0 for everything else."""
-    table = np.zeros(0x110000, np.uint8)
+    """Code point to that of the lower-case letter, 0 for everything that is no letter."""
+    table = np.zeros(0x110000, np.uint32)
     for cp in range(_END):
         if chr(cp).isalpha():
-            low = ord(chr(cp).lower()[0])
-            table[cp] = low - 96 if 97 <= low <= 122 else 27 + low % 37
+            table[cp] = ord(chr(cp).lower()[0])
     return table
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
-    """The n-grams of a text as numbers: the kind (0 to 2 for one to three letters) in bits 18 and 19, six bits for each letter, 0 for a blank."""
-    c = np.concatenate([[0], codes, [0]]).astype(np.int32)
+    """The n-grams of a text as numbers: the letters' code points side by side, so that longer n-grams are larger."""
+    c = np.concatenate([[0], codes, [0]]).astype(np.int64)
     c = np.concatenate([c[:1], c[1:][(c[1:] > 0) | (c[:-1] > 0)]])
-    a, b, d = c[:-2], c[1:-1], c[2:]
-    inner = b > 0
-    return np.concatenate([c[c > 0], (1 << 18) + (c[:-1] << 6) + c[1:], ((2 << 18) + (a << 12) + (b << 6) + d)[inner]])
+    letters = c > 0
+    c[~letters] = _BLANK
+    two = c[:-1] << _BITS | c[1:]
+    return np.concatenate([c[letters], two, (two[:-1] << _BITS | c[2:])[letters[1:-1]]])
 
 
 def ranked(g: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """The most frequent n-grams, most frequent first; of equally frequent ones the smaller number."""
-    g = np.sort(g)
-    at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    count = np.diff(np.concatenate([at, [len(g)]]))
-    key = count.astype(np.int64) << 20 | ((1 << 20) - 1 - g[at])
-    if len(key) > length:
-        key = np.partition(key, len(key) - length)[len(key) - length :]
-    return ((1 << 20) - 1 - (np.sort(key)[::-1] & ((1 << 20) - 1))).astype(np.int32)
+    g, count = np.unique(g, return_counts=True)
+    if len(g) > length:
+        often = count >= np.partition(count, len(count) - length)[len(count) - length]
+        g, count = g[often], count[often]
+    return g[np.argsort(-count, kind="stable")[:length]]
+
+
+def _added(a: tuple[np.ndarray, np.ndarray] | None, b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of two sorted lists of n-grams together."""
+    if a is None:
+        return b
+    g, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    return g, np.bincount(at, np.concatenate([a[1], b[1]]), len(g)).astype(np.int64)
 
 
 def texts_codes(column: pa.Array) -> Iterator[np.ndarray]:
@@ -80,7 +89,7 @@ class Profiles:
     def __init__(self, rows: list[tuple[str, int, int]], length: int = LENGTH):
         self.langs = sorted({r[0] for r in rows})
         self.length = length
-        self.known = np.array(sorted({r[1] for r in rows}), np.int32)
+        self.known = np.array(sorted({r[1] for r in rows}), np.int64)
         at = {int(g): k for k, g in enumerate(self.known)}
         self.ranks = np.full((len(self.known) + 1, len(self.langs)), -1, np.int32)
         for lang, gram, rank in rows:
@@ -107,15 +116,14 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", usable: Column
     """The profiles as rows (lang, gram, rank), from all rows with a text and a language for which `usable` holds."""
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = (rows.where(usable) if usable is not None else rows).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    schema = StructType([StructField("lang", StringType()), StructField("gram", IntegerType()), StructField("n", LongType())])
+    schema = StructType([StructField("lang", StringType()), StructField("gram", LongType()), StructField("n", LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def let_go() -> Iterator[pa.RecordBatch]:
-            for name, total in held.items():
-                g = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g, pa.int32()), pa.array(total[g], pa.int64())], schema.names)
+            for name, (g, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(n, pa.int64())], schema.names)
             held.clear()
 
         for batch in sliced(batches, "text"):
@@ -124,11 +132,9 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", usable: Column
                 if codes.any():
                     by.setdefault(name, []).append(grams(codes))
             for name, got in by.items():
-                if name not in held:
-                    if len(held) >= _HELD:
-                        yield from let_go()
-                    held[name] = np.zeros(3 << 18, np.int64)
-                held[name] += np.bincount(np.concatenate(got), minlength=3 << 18)
+                if name not in held and len(held) >= _HELD or sum(len(g) for g, _ in held.values()) >= _HELD_GRAMS:
+                    yield from let_go()
+                held[name] = _added(held.get(name), np.unique(np.concatenate(got), return_counts=True))
         yield from let_go()
 
     total = rows.mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -209,20 +209,48 @@ def test_langid(spark, sf, docs, odd, empty):
     assert langid.identify(empty, none).count() == 0 and langid.identify(odd, none).where("lang_pred <> 'und'").count() == 0
 
 
-def test_langid_ranks_equal_a_plain_count():
-    text = "Été à la plage, et l'été"
-    words = ["".join(c for c in w) for w in re.split(r"[^\w]+|\d", text.lower()) if w]
-    table = langid.letter_codes()
+def plain_ranks(texts, length=400):
+    """The most frequent n-grams of texts, as strings; a blank sorts below letters and shorter n-grams below longer ones."""
     n = collections.Counter()
-    for w in words:
-        codes = [int(table[ord(c)]) for c in w]
-        padded = [0, *codes, 0]
-        n.update(codes)
-        n.update((1 << 18) + (a << 6) + b for a, b in zip(padded, padded[1:]))
-        n.update((2 << 18) + (a << 12) + (b << 6) + c for a, b, c in zip(padded, padded[1:], padded[2:]))
-    want = [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))]
-    got = langid.ranked(langid.grams(table[[ord(c) for c in text]]), 1000)
-    assert got.tolist() == want
+    for t in texts:
+        letters = "".join(c.lower()[0] if c.isalpha() else " " for c in t)
+        for w in letters.split():
+            padded = f" {w} "
+            n.update(w)
+            n.update(padded[k : k + 2] for k in range(len(padded) - 1))
+            n.update(padded[k : k + 3] for k in range(len(padded) - 2))
+        # Between two words stands one blank, which pairs with both.
+    return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], len(x[0]), x[0].replace(" ", "\x01")))][:length]
+
+
+def test_langid_equals_plain_counts_in_all_scripts(spark):
+    """Profiles and predictions beside a plain computation, over Latin, Cyrillic, Greek, Hangul and Han."""
+    rng = np.random.default_rng(8)
+    words = {
+        "de": "der die und für über straße nicht größe wäre schön", "fr": "les été où déjà garçon même naïve cœur avec vous", "ru": "и в не на что быть который этот человек ёлка мы", "uk": "і в не на що бути який цей людина їжак ґанок",
+        "el": "και το να του η με που από για ότι ένας", "ko": "그리고 나는 학교 에서 공부 한다 오늘 날씨 가 좋다", "zh": "我 是 在 学校 学习 今天 天气 很好 他们 我们",
+    }
+    rows = [(k, " ".join(rng.choice(words[lang].split(), 30)) + ("!" if k % 3 else "."), lang) for k, lang in enumerate(sorted(words) * 12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    known = rows[:70]
+    profiles = {lang: {g: r for r, g in enumerate(plain_ranks([t for _, t, x in known if x == lang]))} for lang in words}
+    learned = langid.learn(df, usable=F.col("doc_id") < 70)
+
+    def string(g):
+        out = ""
+        while g:
+            out, g = chr(g & 0x1FFFFF) + out, g >> 21
+        return out.replace("\x01", " ")
+
+    got = collections.defaultdict(dict)
+    for r in learned.collect():
+        got[r["lang"]][string(r["gram"])] = r["rank"]
+    assert dict(got) == profiles
+    for r in langid.identify(df, langid.collect_profiles(learned)).collect():
+        own = plain_ranks([r["text"]])
+        d = {lang: sum(abs(p[g] - k) if g in p else 400 for k, g in enumerate(own)) for lang, p in profiles.items()}
+        first, second = sorted(d.values())[:2]
+        assert d[r["lang_pred"]] == first and r["lang_pred"] == min(x for x in d if d[x] == first) and r["score"] == pytest.approx(1 - first / second) and r["lang_pred"] == r["lang"]
 
 
 def test_divergence(spark, sf, docs, odd, empty):
