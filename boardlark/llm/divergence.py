@@ -1,13 +1,16 @@
 """Quality rules by distribution divergence.
 
 A document's histogram of character classes, and its histogram of the common words of its language, are compared to the language's reference by the
-Jensen-Shannon distance (base 2, so 0 to 1).  The references are the totals over all documents of the language; a null or unlisted language is
-compared to the total over all documents, by character classes only.  Guards: the classes count from CHARS_FROM characters on, the words from
-WORDS_FROM words on, and a document below a guard isn't rejected by that test.  Base rules reject documents that are very short or repeat themselves.
+Jensen-Shannon distance (base 2, so 0 to 1).  The references are the totals over all documents of the language, whichever it is; a null language is compared
+to the total over all documents.  Common words are listed for some languages; others are judged by character classes only.  Guards: a language's
+reference counts from REF_FROM documents on, the classes from CHARS_FROM characters on, the words from WORDS_FROM words on, and a document below a guard isn't
+rejected by that test.  Base rules reject documents that are very short or repeat themselves.
 
-All of it is DataFrame expressions.  The counts are written to the shared folder, so texts are read once; only one row for each language is joined.
+All of it is DataFrame expressions.  The counts are written to the shared folder, so texts are read once; one row for each language is joined, by broadcast
+only where Spark finds that table small.
 
-Cases: null and empty texts have no words, so the base rules reject them; repeated rows are judged each by itself; an empty table gives no rows.
+Cases: null and empty texts have no words, so the base rules reject them; very long texts are counted whole; repeated rows are judged each by itself; a language
+named like POOLED is compared like null; extra columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ POOLED = "*"
 SPACE = r"[\x20\x09-\x0D]"
 #: Lengths from which a test counts, and distances above which it rejects.
 CHARS_FROM, WORDS_FROM = 200, 100
+#: Documents from which a language has a reference.
+REF_FROM = 20
 CLASSES_MOST, WORDS_MOST = 0.30, 0.30
 #: Base rules: at least so many words, at most this share of them in repeated windows of WINDOW words.
 LEAST_WORDS, REPEAT_MOST, WINDOW = 20, 0.30, 8
@@ -39,22 +44,22 @@ def _quoted(words: list[str]) -> str:
 
 
 def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """For every row: doc_id, ref (the language or POOLED), the base counts, and the two histograms `classes` (lower, space, upper, digits,
-    punctuation, rest) and `common` (the listed words, then all others)."""
+    """For every row: doc_id, ref (the language, POOLED for null), the base counts, and the two histograms `classes` (lower, space, upper, digits,
+    punctuation, letters without case, rest) and `common` (the listed words, then all others)."""
     listed = {lang: words.split() for lang, words in COMMON.items()}
     every = sorted({w for words in listed.values() for w in words})
     ref_words = ", ".join(f"'{lang}', array({_quoted(words)})" for lang, words in listed.items())
     d = df.select(
         F.col(id_col).alias("doc_id"),
-        F.expr(f"CASE WHEN `{lang_col}` IN ({_quoted(list(listed))}) THEN `{lang_col}` ELSE '{POOLED}' END").alias("ref"),
+        F.coalesce(F.col(lang_col), F.lit(POOLED)).alias("ref"),
         F.coalesce(F.col(text_col), F.lit("")).alias("t"),
     )
     d = d.withColumn("words", F.array_remove(F.split("t", f"{SPACE}+"), ""))
     d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SPACE[1:-1]}]")))
     # What is left after each class is taken out; every further step reads a much shorter text.
-    for k, (before, pattern) in enumerate((("t", r"\p{Ll}+"), ("t0", f"{SPACE}+"), ("t1", r"\p{Lu}+"), ("t2", r"\p{Nd}+"), ("t3", r"""[.,;:!?'"()-]+"""))):
+    for k, (before, pattern) in enumerate((("t", r"\p{Ll}+"), ("t0", f"{SPACE}+"), ("t1", r"\p{Lu}+"), ("t2", r"\p{Nd}+"), ("t3", r"""[.,;:!?'"()-]+"""), ("t4", r"[\p{Lo}\p{Lm}\p{M}]+"))):
         d = d.withColumn(f"t{k}", F.regexp_replace(before, pattern, ""))
-    left = [F.length(c) for c in ("t", "t0", "t1", "t2", "t3", "t4")]
+    left = [F.length(c) for c in ("t", "t0", "t1", "t2", "t3", "t4", "t5")]
     d = d.select(
         "doc_id", "ref", "words",
         F.size("words").cast("long").alias("n_words"),
@@ -76,12 +81,12 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
 def references(counted: DataFrame) -> DataFrame:
     """ref, ref_classes and ref_common: the totals over all documents of each language, and of all of them as POOLED."""
-    n_classes, n_common = 6, 1 + max(len(w.split()) for w in COMMON.values())
+    n_classes, n_common = 7, 1 + max(len(w.split()) for w in COMMON.values())
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
-    by_lang = counted.groupBy("ref").agg(*sums)
+    by_lang = counted.groupBy("ref").agg(*sums, F.count("*").alias("n"))
     classes = F.array(*[f"c{i}" for i in range(n_classes)])
     pooled = by_lang.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_classes)]).select(F.lit(POOLED).alias("ref"), classes.alias("ref_classes"), F.lit(None).cast("array<bigint>").alias("ref_common"))
-    own = by_lang.where(F.col("ref") != POOLED).select("ref", classes.alias("ref_classes"), F.array_compact(F.array(*[f"w{i}" for i in range(n_common)])).alias("ref_common"))
+    own = by_lang.where((F.col("ref") != POOLED) & (F.col("n") >= REF_FROM)).select("ref", classes.alias("ref_classes"), F.nullif(F.array_compact(F.array(*[f"w{i}" for i in range(n_common)])), F.array().cast("array<bigint>")).alias("ref_common"))
     return own.unionByName(pooled)
 
 
@@ -91,13 +96,13 @@ def distance(p: str, q: str) -> Column:
     share = lambda x: f"transform({x}, v -> v / nullif({total(x)}, 0D))"
     term = "CASE WHEN a > 0 THEN a * log2(2 * a / (a + b)) ELSE 0D END + CASE WHEN b > 0 THEN b * log2(2 * b / (a + b)) ELSE 0D END"
     terms = f"zip_with({share(p)}, {share(q)}, (a, b) -> CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN {term} END)"
-    return F.expr(f"sqrt(greatest(0D, aggregate({terms}, 0D, (s, x) -> s + x) / 2))")
+    return F.expr(f"CASE WHEN {total(p)} > 0 AND {total(q)} > 0 THEN sqrt(greatest(0D, aggregate({terms}, 0D, (s, x) -> s + x) / 2)) END")
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, the base counts, class_distance, word_distance, base_failed and kept of every row."""
     counted = Scratch(df.sparkSession, "divergence").table(counts(df, id_col, text_col, lang_col), "counts")
-    d = counted.join(F.broadcast(references(counted)), "ref")  # at most one row for each listed language and one more
+    d = counted.join(references(counted), "ref", "left")
     d = d.withColumn("class_distance", F.round(distance("classes", "ref_classes"), 9)).withColumn("word_distance", F.round(distance("common", "ref_common"), 9))
     d = d.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > int(100 * REPEAT_MOST) * F.col("n_words")))
     chars = F.expr("aggregate(classes, 0L, (a, x) -> a + x)")

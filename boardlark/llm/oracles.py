@@ -61,29 +61,29 @@ def _distance(p: str, q: str) -> str:
     share = lambda x: f"list_transform({x}, lambda v: v / nullif(CAST(list_sum({x}) AS DOUBLE), 0))"
     pairs = f"list_zip({share(p)}, {share(q)})"
     part = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
-    return f"sqrt(greatest(0, list_sum(list_transform({pairs}, lambda z: {part('z[1]', 'z[2]')} + {part('z[2]', 'z[1]')})) / 2))"
+    return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(0, list_sum(list_transform({pairs}, lambda z: {part('z[1]', 'z[2]')} + {part('z[2]', 'z[1]')})) / 2)) END"
 
 
 def quality() -> str:
     d, q = divergence, lambda words: ", ".join(f"'{w}'" for w in words)
     listed = {lang: w.split() for lang, w in d.COMMON.items()}
     every = sorted({w for ws in listed.values() for w in ws})
-    steps = [("t0", "t", r"\p{Ll}+"), ("t1", "t0", f"{_SPACE}+"), ("t2", "t1", r"\p{Lu}+"), ("t3", "t2", r"\p{Nd}+"), ("t4", "t3", r"""[.,;:!?''"()-]+""")]
+    steps = [("t0", "t", r"\p{Ll}+"), ("t1", "t0", f"{_SPACE}+"), ("t2", "t1", r"\p{Lu}+"), ("t3", "t2", r"\p{Nd}+"), ("t4", "t3", r"""[.,;:!?''"()-]+"""), ("t5", "t4", r"[\p{Lo}\p{Lm}\p{M}]+")]
     chain = ", ".join(f"r{k} AS (SELECT *, regexp_replace({before}, '{pattern}', '', 'g') AS {to} FROM {'base' if k == 0 else f'r{k - 1}'})" for k, (to, before, pattern) in enumerate(steps))
     hits = " ".join(f"WHEN '{lang}' THEN list_transform([{q(ws)}], lambda r: len(list_filter(met, lambda m: m = r)))" for lang, ws in listed.items())
-    return rf"""WITH base AS (SELECT doc_id, CASE WHEN lang IN ({q(listed)}) THEN lang ELSE '*' END AS ref, coalesce(text, '') AS t FROM documents), {chain},
+    return rf"""WITH base AS (SELECT doc_id, coalesce(lang, '*') AS ref, coalesce(text, '') AS t FROM documents), {chain},
 f AS (SELECT doc_id, ref, {_words('t')} AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-  length(t2) - length(regexp_replace(t2, '[#*$%&|<>]', '', 'g')) AS n_symbols, [length(t) - length(t0), length(t0) - length(t1), length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4), length(t4)] AS classes FROM r4),
+  length(t2) - length(regexp_replace(t2, '[#*$%&|<>]', '', 'g')) AS n_symbols, [length(t) - length(t0), length(t0) - length(t1), length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4), length(t4) - length(t5), length(t5)] AS classes FROM r5),
 g AS (SELECT doc_id, ref, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, classes, words,
   list_filter(list_transform(words, lambda w: lower(trim(w, '.,;:!?'))), lambda w: w IN ({q(every)})) AS met FROM f),
 win AS (SELECT doc_id, i, array_to_string(words[i:i + {d.WINDOW - 1}], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - {d.WINDOW - 2})) AS i FROM g)),
 twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
 rep AS (SELECT doc_id, sum(step) AS n_repeat_words FROM (SELECT doc_id, least({d.WINDOW}, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - {d.WINDOW})) AS step FROM twice) GROUP BY doc_id),
 h AS (SELECT *, CASE ref {hits} END AS hit FROM g), k AS (SELECT *, CASE WHEN hit IS NOT NULL THEN list_append(hit, n_words - list_sum(hit)) END AS common FROM h),
-rc AS (SELECT ref, list(s ORDER BY j) AS ref_classes FROM (SELECT ref, j, sum(v) AS s FROM (SELECT ref, unnest(classes) AS v, generate_subscripts(classes, 1) AS j FROM k) GROUP BY ref, j) GROUP BY ref),
+rc AS (SELECT ref, list(s ORDER BY j) AS ref_classes FROM (SELECT ref, j, sum(v) AS s FROM (SELECT ref, unnest(classes) AS v, generate_subscripts(classes, 1) AS j FROM k) GROUP BY ref, j HAVING count(*) >= {d.REF_FROM}) GROUP BY ref),
 pool AS (SELECT list(s ORDER BY j) AS ref_classes FROM (SELECT j, sum(v) AS s FROM (SELECT unnest(classes) AS v, generate_subscripts(classes, 1) AS j FROM k) GROUP BY j)),
-rw AS (SELECT ref, list(s ORDER BY j) AS ref_common FROM (SELECT ref, j, sum(v) AS s FROM (SELECT ref, unnest(common) AS v, generate_subscripts(common, 1) AS j FROM k) GROUP BY ref, j) GROUP BY ref),
-m AS (SELECT k.*, coalesce(CASE WHEN k.ref <> '*' THEN rc.ref_classes END, pool.ref_classes) AS ref_classes, ref_common, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM k LEFT JOIN rc ON rc.ref = k.ref LEFT JOIN rw ON rw.ref = k.ref LEFT JOIN rep ON rep.doc_id = k.doc_id, pool),
+rw AS (SELECT ref, list(s ORDER BY j) AS ref_common FROM (SELECT ref, j, sum(v) AS s FROM (SELECT ref, unnest(common) AS v, generate_subscripts(common, 1) AS j FROM k) GROUP BY ref, j HAVING count(*) >= {d.REF_FROM}) GROUP BY ref),
+m AS (SELECT k.*, CASE WHEN k.ref = '*' THEN pool.ref_classes ELSE rc.ref_classes END AS ref_classes, ref_common, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM k LEFT JOIN rc ON rc.ref = k.ref LEFT JOIN rw ON rw.ref = k.ref LEFT JOIN rep ON rep.doc_id = k.doc_id, pool),
 z AS (SELECT *, round({_distance('classes', 'ref_classes')}, 9) AS class_distance, round({_distance('common', 'ref_common')}, 9) AS word_distance, n_words < {d.LEAST_WORDS} OR 100 * n_repeat_words > {int(100 * d.REPEAT_MOST)} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance, base_failed,
 NOT base_failed AND NOT coalesce((list_sum(classes) >= {d.CHARS_FROM} AND class_distance > {d.CLASSES_MOST}) OR (n_words >= {d.WORDS_FROM} AND word_distance > {d.WORDS_MOST}), FALSE) AS kept FROM z"""

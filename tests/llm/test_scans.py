@@ -192,6 +192,9 @@ def test_jpeg_query(spark, sf, docs, odd, empty):
         p = payload(t).tobytes()
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
         assert files.setdefault(t, (r["media_sha256"], r["feature"])) == (r["media_sha256"], r["feature"])
+        # The feature from the definition: a byte a block, 24 blocks a row, the thumbnail is the payload itself.
+        width, height = re.fullmatch(r"(\d+)x(\d+);.*", r["feature"]).groups()
+        assert int(width) * int(height) == 64 * len(p)
     out = jpeg.store(odd, keep=["doc_id", "lang"])
     assert out.where("length(media) = media_bytes AND sha2(media, 256) = media_sha256").count() == odd.count()
     assert out.where("doc_id IN (2, 3) AND payload_bytes = 576").count() == 2 and jpeg.store(empty).count() == 0
@@ -270,6 +273,15 @@ def test_divergence(spark, sf, docs, odd, empty):
     assert {r["base_failed"] for r in out if r["doc_id"] in (2, 3, 6, 7)} == {True}
 
 
+def test_divergence_judges_every_language_by_its_own(spark):
+    """Prose of a language without a list of words is kept beside its like; below REF_FROM documents a language rejects nothing; junk goes."""
+    prose = lambda w: " ".join(f"{w}{k}る{chr(0x3041 + k % 80)}" for k in range(60)) + "。"
+    rows = [(k, prose("日本語の文章" + chr(0x4E00 + k)), "ja") for k in range(30)] + [(100 + k, " ".join(f"word{chr(97 + k)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(90)), "en") for k in range(26)]
+    rows += [(200, prose("한국어"), "ko"), (201, " ".join(f"#{j}$%&|{j * 7}" for j in range(90)), "ja")]
+    out = {r["doc_id"]: r for r in divergence.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert all(out[k]["kept"] for k in (*range(30), *range(100, 126), 200)) and not out[201]["kept"] and out[200]["class_distance"] is None and out[0]["word_distance"] is None
+
+
 def test_divergence_distance(spark):
     row = spark.createDataFrame([([1, 0], [0, 1], [2, 2])], "p array<bigint>, q array<bigint>, r array<bigint>").select(divergence.distance("p", "q").alias("far"), divergence.distance("r", "r").alias("same")).first()
     assert row["far"] == pytest.approx(1.0) and row["same"] == pytest.approx(0.0)
