@@ -81,6 +81,29 @@ def test_audit_gate(spark):
     assert audit.examples(issues, 1).count() == 2 and audit.summary(issues).count() == 2
 
 
+def test_audit_reports_over_every_code(spark):
+    """The registered reports over all codes beside plain counts of each record's issues; equal and null ids are judged each."""
+    from boardlark.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    issues = [(str(r["doc_id"]), *i) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for i in audit.issues_of(r["text"])]
+    counts = {}
+    for _, severity, code, *_ in issues:
+        counts[severity, code] = counts.get((severity, code), 0) + 1
+    assert {(r["severity"], r["code"]): r["n"] for r in QUERIES["audit_summary_all"](spark, sf).collect()} == counts
+    gate = QUERIES["audit_gate_all"](spark, sf).first()
+    assert (gate["total"], gate["failing"]) == (len(issues), sum(i[1] <= "P1" for i in issues))
+    first = {}
+    for i, severity, code, line, _ in sorted(issues, key=lambda x: (x[0], x[3] or 0)):
+        first.setdefault((severity, code), []).append(i)
+    got = {}
+    for r in QUERIES["audit_examples_all"](spark, sf).orderBy("severity", "code", "k").collect():
+        got.setdefault((r["severity"], r["code"]), []).append(r["id"])
+    assert got == {k: v[:3] for k, v in first.items()}
+    twice = spark.createDataFrame([("a", "<p>"), ("a", "```"), (None, "&amp;")], "id string, content string")
+    assert sorted((r["id"] or "", r["code"]) for r in audit.audit(twice).collect()) == [("", "html_entity"), ("a", "raw_html"), ("a", "unclosed_fence")]
+
+
 def test_selectors():
     top = parse("<ul class='a b'><li id=x><a href='/q?m=1'>t</a><li><b>u</b></ul><p>v<div>w</div>")
     assert [n.text() for n in top.select("ul.a > li")] == ["t", "u"] and top.first("#x a[href*='m=1']").text() == "t" and top.select("ul > a") == [] and len(top.select("b, a")) == 2
