@@ -4,7 +4,8 @@ Documents fall into cells of (source, language, topic).  Starting from each cell
 targets in turn.  A cell's factor is its fitted weight over its tokens.  Documents are then sampled with probability min(1, s * factor), where s makes
 the expected tokens a share of all; a document's draw is a hash of its id, so the sample is repeatable.
 
-All of it is DataFrame expressions.  Only the cells, one row for each combination of labels that occurs, are ever brought together.
+All of it is DataFrame expressions.  Only the cells, one row for each combination of labels that occurs, are brought together, up to ONE_TASK of them; more are
+fitted by partial totals that are joined back, to the same result.
 
 With `whole`, probabilities themselves are fitted (fit_whole): cells capped at 1 are made up for by the others of their source, language and topic, and the
 budget is lowered where the targets can't be met at it, so that the expected sample has the target shares.  Without it, capped cells miss them.
@@ -30,6 +31,8 @@ BUDGET = 0.8
 #: For the fit of probabilities the budget isn't lowered below this share for targets that contradict each other; the nearest fit stands then.
 LEAST_BUDGET = 0.5
 SEED = "mix-1"
+#: Cells that are fitted in one task, or on the driver, at most; more go by joined totals.
+ONE_TASK = 200_000
 #: The topic of a text, first match wins; the marks that redaction leaves count as what they stand for.
 TOPIC = """CASE WHEN contains(lower(text), 'licen') THEN 'legal' WHEN contains(text, '|') THEN 'tabular' WHEN contains(text, '@') OR contains(text, '[EMAIL]') OR contains(text, '[PHONE]') THEN 'contact'
 WHEN contains(text, '!!') OR contains(text, '%%%') OR contains(text, '###') THEN 'noisy' ELSE 'prose' END"""
@@ -44,15 +47,19 @@ def labelled(df: DataFrame, topic: str = TOPIC, tokens: str = TOKENS) -> DataFra
 def fit(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
     """_source, _lang, _topic, weight (fitted tokens) and probability of every cell of labelled() documents.  targets: for a dimension, a table of
     (value, share); without it, the tempered present shares."""
-    cells = docs.groupBy(*[f"_{d}" for d in DIMENSIONS]).agg(F.sum("_tokens").alias("tokens"))
-    # One partition: the table is a few rows for each source, and all windows below then need no exchange.
-    cells = Scratch(docs.sparkSession, "raking").table(cells, "cells").coalesce(1)
+    names = [f"_{d}" for d in DIMENSIONS]
+    scratch = Scratch(docs.sparkSession, "raking")
+    cells = scratch.table(docs.groupBy(*names).agg(F.sum("_tokens").alias("tokens")), "cells")
+    if cells.limit(ONE_TASK + 1).count() > ONE_TASK:
+        return _fit_large(cells, scratch, targets, budget, rounds)
+    # One partition of a checked size: all windows below then need no exchange.
+    cells = cells.coalesce(1)
     every = Window.partitionBy(F.lit(1))
     by = {d: Window.partitionBy(f"_{d}") for d in DIMENSIONS}
     for d in DIMENSIONS:
         if targets and d in targets:
             want = targets[d].select(F.col("value").alias(f"_{d}"), F.col("share").alias("want"))
-            cells = cells.join(F.broadcast(want), f"_{d}", "left").withColumn("want", F.coalesce("want", F.lit(0.0))).withColumnRenamed("want", f"to_{d}").coalesce(1)
+            cells = cells.join(want, f"_{d}", "left").withColumn("want", F.coalesce("want", F.lit(0.0))).withColumnRenamed("want", f"to_{d}").coalesce(1)
         else:
             tempered = F.pow(F.sum("tokens").over(by[d]).cast("double"), F.lit(POWER[d]))
             cells = cells.withColumn("own", tempered).withColumn("first", F.row_number().over(by[d].orderBy(*[f"_{x}" for x in DIMENSIONS])) == 1)
@@ -74,6 +81,39 @@ def fit(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
     return cells.select(*[f"_{d}" for d in DIMENSIONS], "weight", "probability")
 
 
+def _fit_large(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | None, budget: float, rounds: int) -> DataFrame:
+    """fit() for any number of cells: totals by partial aggregation, joined back and written at each step, so that no group of cells meets in one task."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    for d in DIMENSIONS:
+        now = cells.groupBy(f"_{d}").agg(F.sum("tokens").alias("own"))
+        if targets and d in targets:
+            want = now.select(f"_{d}").join(targets[d].select(F.col("value").alias(f"_{d}"), F.col("share").alias("want")), f"_{d}", "left").select(f"_{d}", F.coalesce("want", F.lit(0.0)).alias("want"))
+        else:
+            now = now.select(f"_{d}", F.pow(F.col("own").cast("double"), F.lit(POWER[d])).alias("own"))
+            every = float(now.agg(F.sum("own")).first()[0] or 0)
+            want = now.select(f"_{d}", F.try_divide("own", F.lit(every)).alias("want"))
+        cells = cells.join(want.withColumnRenamed("want", f"to_{d}"), f"_{d}")
+    cells = scratch.table(cells.withColumn("weight", F.col("tokens").cast("double")), "weighed")
+    step = 0
+    for _ in range(rounds):
+        for d in DIMENSIONS:
+            now = cells.groupBy(f"_{d}").agg(F.sum("weight").alias("now"))
+            cells = cells.join(now, f"_{d}").withColumn("weight", F.when(F.col("now") > 0, F.col("weight") * F.try_divide(F.col(f"to_{d}") * total, F.col("now"))).otherwise(F.lit(0.0))).drop("now")
+            step += 1
+            cells = scratch.table(cells, f"weighed-{step}")
+            scratch.drop(f"weighed-{step - 1}" if step > 1 else "weighed")
+    cells = cells.withColumn("factor", F.when(F.col("tokens") > 0, F.try_divide("weight", "tokens")))
+    # The scale at which cells taken whole and shares of the others come to the budget: from none taken whole on, the set only grows.
+    scale, taken = 0.0, -1
+    while True:
+        whole = F.coalesce(F.col("factor") * scale > 1, F.lit(False))
+        n, held, rest = cells.agg(F.count_if(whole), F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("weight")))).first()
+        if n == taken or not rest:
+            break
+        taken, scale = n, max(0.0, budget * total - (held or 0)) / rest
+    return cells.select(*[f"_{d}" for d in DIMENSIONS], "weight", F.when(F.col("factor").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("factor") * scale)).alias("probability"))
+
+
 def bounded(tokens: np.ndarray, groups: list[np.ndarray], shares: list[np.ndarray], budget: float, rounds: int = 300, near: float = 1e-4) -> np.ndarray:
     """Probabilities of cells, such that in each dimension the expected tokens have the given shares (groups: each cell's value; shares: of each value,
     which sum to 1).  The budget is the largest share of all tokens up to `budget` at which the fit is found, LEAST_BUDGET at least; if none is found there,
@@ -121,10 +161,13 @@ def bounded(tokens: np.ndarray, groups: list[np.ndarray], shares: list[np.ndarra
 
 
 def fit_whole(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
-    """As fit(), with probabilities that keep the target shares.  The cells, one row each, are fitted on the driver."""
+    """As fit(), with probabilities that keep the target shares.  Up to ONE_TASK cells are fitted on the driver; for more of them
+    fit() stands."""
     names = [f"_{d}" for d in DIMENSIONS]
-    cells = docs.groupBy(*names).agg(F.sum("_tokens").alias("tokens"))
-    rows = cells.collect()
+    cells = Scratch(docs.sparkSession, "raking").table(docs.groupBy(*names).agg(F.sum("_tokens").alias("tokens")), "cells")
+    rows = cells.limit(ONE_TASK + 1).collect()
+    if len(rows) > ONE_TASK:
+        return fit(docs, targets, budget)
     held = [r for r in rows if r["tokens"] > 0]
     tokens = np.array([r["tokens"] for r in held], float)
     groups, shares = [], []

@@ -342,6 +342,17 @@ def test_raking_whole_sample_has_the_target_shares(spark, docs, odd, empty):
     assert raking.mixed(odd, whole=True).count() == odd.count() and raking.mixed(empty, whole=True).count() == 0
 
 
+def test_raking_large_equals_small(docs, odd, empty, spark, monkeypatch):
+    want = {"lang": spark.createDataFrame([("en", 0.5), ("fr", 0.25), ("de", 0.25)], "value string, share double")}
+    for rows in (docs, odd, empty):
+        for targets in (None, want):
+            out = []
+            for most in (200_000, 0):
+                monkeypatch.setattr(raking, "ONE_TASK", most)
+                out.append({(r["_source"], r["_lang"], r["_topic"]): (r["weight"], r["probability"]) for r in raking.fit(raking.labelled(rows), targets).collect()})
+            assert set(out[0]) == set(out[1]) and all(out[0][k] == pytest.approx(out[1][k], rel=1e-9, abs=1e-9) for k in out[0])
+
+
 def test_raking_odd_rows(odd, empty):
     out = raking.mixed(odd).collect()
     assert len(out) == odd.count() and all(r["selected"] for r in out if r["text"] in (None, ""))
