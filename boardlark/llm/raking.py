@@ -78,7 +78,7 @@ def fit(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
     cells = cells.withColumn("scale", F.try_divide(left, F.sum("weight").over(after)))
     fits = F.min(F.when(F.col("scale") * F.col("factor") <= 1, F.struct(-F.col("factor"), "scale"))).over(every)["scale"]
     cells = cells.withColumn("probability", F.when(F.col("factor").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(fits, F.lit(1e300)) * F.col("factor"))))
-    return cells.select(*[f"_{d}" for d in DIMENSIONS], "weight", "probability")
+    return F.broadcast(cells.select(*[f"_{d}" for d in DIMENSIONS], "weight", "probability"))  # ONE_TASK rows at most
 
 
 def _fit_large(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | None, budget: float, rounds: int) -> DataFrame:
@@ -183,7 +183,8 @@ def fit_whole(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budg
     p = bounded(tokens, groups, shares, budget) if held else np.zeros(0)
     out = [(*(r[n] for n in names), float(r["tokens"] * x), float(min(1.0, x))) for r, x in zip(held, p)]
     out += [(*(r[n] for n in names), 0.0, 1.0) for r in rows if not r["tokens"]]
-    return docs.sparkSession.createDataFrame(out, ", ".join(f"{n} string" for n in names) + ", weight double, probability double")
+    fitted = docs.sparkSession.createDataFrame(out, ", ".join(f"{n} string" for n in names) + ", weight double, probability double")
+    return F.broadcast(fitted)  # ONE_TASK rows at most
 
 
 def draw(id_col: str, seed: str = SEED) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,23 @@ def scratch_root(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that the driver and all executors share")
 
 
+#: Rows and bytes of an Arrow batch while an operator itself runs a job; Spark's own sizes hold for what the caller runs.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds what a task holds in Arrow buffers beside a worker's model; the session has its own settings again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Written tables that cut lineage.  They lie in the shared folder and go when the session's JVM ends, or earlier with drop()."""
 
@@ -66,8 +84,9 @@ class Scratch:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and reads it back."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        """Writes df, with small Arrow batches meanwhile, and reads it back."""
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.read(name, df.schema)
 
     def read(self, name: str, schema: StructType) -> DataFrame:

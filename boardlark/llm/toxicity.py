@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from boardlark.llm.shared import Scratch, arrow_pass, sliced
+from boardlark.llm.shared import Scratch, arrow_pass, sliced, small_batches
 
 #: Labelled documents of each class that are learned from, at most.
 PER_CLASS = 5000
@@ -294,7 +294,8 @@ def document_frequencies(docs: DataFrame, text: str, words: list[str], shared) -
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([rows, *total[some]], pa.int64())], schema.names)
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(count, schema).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(docs.sparkSession):
+        found = docs.select(F.col(text).alias("text")).mapInArrow(count, schema).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(words) + 1, np.int64)
     out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return int(out[-1]), out[:-1]
@@ -328,7 +329,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     # Copies of a text count once.
     one = arrow_pass(texts.dropDuplicates(["name", "label"]), "text", ["label"], StructType([StructField("terms", ArrayType(StringType()))]), make)
     per = one.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("bad"), F.count("*").alias("all"))
-    telling = per.where(F.col("all") >= LEAST).orderBy("term").toArrow()
+    with small_batches(docs.sparkSession):
+        telling = per.where(F.col("all") >= LEAST).orderBy("term").toArrow()
     words = telling.column("term").to_pylist()
     bad, every = (telling.column(c).to_numpy().astype(float) for c in ("bad", "all"))
     shared = context.broadcast(words)
@@ -347,7 +349,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
 
     kind = ArrayType(IntegerType())
     held = arrow_pass(texts, "text", ["doc_id", "label", "name"], StructType([StructField("terms", kind), StructField("counts", kind)]), make_numbers)
-    held = held.select("doc_id", "label", "name", "terms", "counts").toArrow()
+    with small_batches(docs.sparkSession):
+        held = held.select("doc_id", "label", "name", "terms", "counts").toArrow()
     columns = [held.column(c).to_pylist() for c in ("doc_id", "label", "name")]
     voter = Voter(words, weight, [(i, y, t.values.to_numpy(), c.values.to_numpy(), m) for i, y, m, t, c in zip(*columns, held.column("terms"), held.column("counts"))], shares)
     del held, columns, telling
@@ -362,7 +365,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
         return work
 
     votes = arrow_pass(texts, "text", ["doc_id", "label", "name"], StructType([StructField("vote", DoubleType()), StructField("met", BooleanType())]), make_votes)
-    votes = votes.select("doc_id", "label", "vote", "met").toArrow()  # at most 2 * PER_CLASS rows
+    with small_batches(docs.sparkSession):
+        votes = votes.select("doc_id", "label", "vote", "met").toArrow()  # at most 2 * PER_CLASS rows
     return Model(shares[1], voter, shared, list(zip(*(votes.column(c).to_pylist() for c in ("label", "vote", "met")))))
 
 
