@@ -36,11 +36,11 @@ PRE_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r\x20\x85\xa0"
 NARROW_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Words that a worker's cache holds before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Longer words aren't kept in the cache.
 CACHE_BYTES = 64
 #: Entries of the automaton's table that a worker keeps before it starts anew.
-CACHE_PAIRS = 600_000
+CACHE_PAIRS = 300_000
 
 
 def byte_letters() -> dict[str, int]:

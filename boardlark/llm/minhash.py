@@ -195,10 +195,10 @@ def _block_links(key: tuple, rows: pd.DataFrame, similar: int) -> pd.DataFrame:
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
-def near_duplicates(df: DataFrame, words: int = 5, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (doc_id = component_id) of every row."""
-    spark = df.sparkSession
-    scratch = Scratch(spark, "near")
+def near_duplicates(df: DataFrame, words: int = 5, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (doc_id = component_id) of every row.  scratch: where
+    intermediate tables go, for a caller that drops them."""
+    own, scratch = scratch is None, scratch or Scratch(df.sparkSession, "near")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = scratch.table(sketched(docs, words, keep=["doc_id"]), "sketched")
     name = ["n_shingles", "set_a", "set_b"]
@@ -253,7 +253,8 @@ def near_duplicates(df: DataFrame, words: int = 5, similar: int = SIMILAR, id_co
     comp = _joined(comp, links, scratch, "third", contracted=True)
 
     found = nodes.select(*name, "node").join(comp, "node", "left").select(*name, F.coalesce("comp", "node").alias("component"))
-    scratch.only("sketched", "nodes", "comp-third")
+    if own:
+        scratch.only("sketched", "nodes", "comp-third")
     out = known.drop("bands").join(found, name, "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.expr("doc_id <=> component_id"))
@@ -265,11 +266,12 @@ def one_of_each(df: DataFrame, words: int = 5, similar: int = SIMILAR, id_col: s
     row = fresh(df.columns, "_row")
     scratch = Scratch(df.sparkSession, "copies")
     rows = scratch.table(df.withColumn(row, F.monotonically_increasing_id()), "rows")
-    linked = near_duplicates(rows.select(row, F.col(text_col)), words, similar, row, text_col)
+    linked = near_duplicates(rows.select(row, F.col(text_col)), words, similar, row, text_col, scratch)
     linked = linked.groupBy("component_id").agg(F.count("*").alias("_n")).where("_n > 1").select("component_id").join(linked, "component_id")
     ids = linked.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, F.col(id_col).alias("_id")), row)
     stays = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", row)).alias("s")).select(F.col(f"s.{row}").alias(row))
     gone = scratch.table(ids.select(row).join(stays, row, "left_anti"), "gone")
+    scratch.only("rows", "gone")
     return rows.join(gone, row, "left_anti").select(*df.columns)
 
 

@@ -367,6 +367,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     votes = arrow_pass(texts, "text", ["doc_id", "label", "name"], StructType([StructField("vote", DoubleType()), StructField("met", BooleanType())]), make_votes)
     with small_batches(docs.sparkSession):
         votes = votes.select("doc_id", "label", "vote", "met").toArrow()  # at most 2 * PER_CLASS rows
+    scratch.only()
     return Model(shares[1], voter, shared, list(zip(*(votes.column(c).to_pylist() for c in ("label", "vote", "met")))))
 
 
