@@ -266,9 +266,9 @@ def one_of_each(df: DataFrame, words: int = 5, similar: int = SIMILAR, id_col: s
     row = fresh(df.columns, "_row")
     scratch = Scratch(df.sparkSession, "copies")
     rows = scratch.table(df.withColumn(row, F.monotonically_increasing_id()), "rows")
-    linked = near_duplicates(rows.select(row, F.col(text_col)), words, similar, row, text_col, scratch)
-    linked = linked.groupBy("component_id").agg(F.count("*").alias("_n")).where("_n > 1").select("component_id").join(linked, "component_id")
-    ids = linked.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, F.col(id_col).alias("_id")), row)
+    found = near_duplicates(rows.select(row, F.col(text_col)), words, similar, row, text_col, scratch)
+    ids = found.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, F.col(id_col).alias("_id")), row)
+    # A large component meets in no task: its least row is found by partial minima, and the other rows are told by their own numbers.
     stays = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", row)).alias("s")).select(F.col(f"s.{row}").alias(row))
     gone = scratch.table(ids.select(row).join(stays, row, "left_anti"), "gone")
     scratch.only("rows", "gone")
