@@ -8,7 +8,8 @@ All of it is DataFrame expressions.  Only the cells, one row for each combinatio
 fitted by partial totals that are joined back, to the same result.
 
 With `whole`, probabilities themselves are fitted (fit_whole): cells capped at 1 are made up for by the others of their source, language and topic, and the
-budget is lowered where the targets can't be met at it, so that the expected sample has the target shares.  Without it, capped cells miss them.
+budget is lowered where the targets can't be met at it, so that the expected sample has the target shares, for any number of cells.  Without it, capped
+cells miss them.
 
 Cases: null labels are a value of their own; null and empty texts have no tokens and are kept, as they cost nothing; a null id is hashed as the empty
 string; repeated rows are drawn alike; very long texts count whole; an empty table gives no rows; columns of the input may have any names; where a marginal can't be met because a cell is empty or capped at 1, the nearest fit of the last round stands.
@@ -16,6 +17,9 @@ string; repeated rows are drawn alike; very long texts count whole; an empty tab
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +41,9 @@ ONE_TASK = 200_000
 TOPIC = """CASE WHEN contains(lower(text), 'licen') THEN 'legal' WHEN contains(text, '|') THEN 'tabular' WHEN contains(text, '@') OR contains(text, '[EMAIL]') OR contains(text, '[PHONE]') THEN 'contact'
 WHEN contains(text, '!!') OR contains(text, '%%%') OR contains(text, '###') THEN 'noisy' ELSE 'prose' END"""
 TOKENS = "CAST(ceil(coalesce(octet_length(text), 0) / 4) AS BIGINT)"
+#: For the fit of probabilities: rounds at one budget at most, and how near to its target each share must come.
+FIT_ROUNDS, NEAR = 300, 1e-4
+Fit = TypeVar("Fit")
 
 
 def labelled(df: DataFrame, topic: str = TOPIC, tokens: str = TOKENS) -> DataFrame:
@@ -114,23 +121,42 @@ def _fit_large(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame]
     return cells.select(*[f"_{d}" for d in DIMENSIONS], "weight", F.when(F.col("factor").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("factor") * scale)).alias("probability"))
 
 
-def bounded(tokens: np.ndarray, groups: list[np.ndarray], shares: list[np.ndarray], budget: float, rounds: int = 300, near: float = 1e-4) -> np.ndarray:
+def largest(at: Callable[[float, bool], Fit | None], most: float, budget: float) -> Fit:
+    """The fit at(b, nearest) with the largest budget b up to `most` at which it is found, LEAST_BUDGET at least; if none is found there, the nearest one
+    stands.  Of the fits that are found the last one is returned."""
+    low, high = min(LEAST_BUDGET, budget), most
+    found = at(high, False) if high >= low else None
+    if found is not None:
+        return found
+    p = at(low, False) if high >= low else None
+    if p is None:
+        return at(low, True)
+    for _ in range(12):
+        middle = (low + high) / 2
+        found = at(middle, False)
+        if found is None:
+            high = middle
+        else:
+            low, p = middle, found
+    return p
+
+
+def bounded(tokens: np.ndarray, groups: list[np.ndarray], shares: list[np.ndarray], budget: float, rounds: int = FIT_ROUNDS, near: float = NEAR) -> np.ndarray:
     """Probabilities of cells, such that in each dimension the expected tokens have the given shares (groups: each cell's value; shares: of each value,
-    which sum to 1).  The budget is the largest share of all tokens up to `budget` at which the fit is found, LEAST_BUDGET at least; if none is found there,
-    its last round stands."""
+    which sum to 1), at the largest() budget."""
     total = tokens.sum()
     members = [[np.flatnonzero(g == v) for v in range(len(a))] for g, a in zip(groups, shares)]
     most = min([budget, *(tokens[m].sum() / (total * x) for ms, a in zip(members, shares) for m, x in zip(ms, a) if x > 0)])
 
     def fill(w: np.ndarray, t: np.ndarray, want: float) -> np.ndarray:
-        """min(t, l * w) with l such that the sum is `want`, or all of t."""
+        """min(t, l * w) with l such that the sum is `want`, or all of t; what has no weight gets none."""
         order = np.argsort(np.where(w > 0, t / np.maximum(w, 1e-300), np.inf), kind="stable")
         w, t = w[order], t[order]
         left, rest = want - (np.cumsum(t) - t), np.cumsum(w[::-1])[::-1]
         scale = np.divide(left, rest, out=np.zeros(len(w)), where=rest > 0)
-        fits = np.flatnonzero(scale * w <= t)
+        fits = np.flatnonzero((scale * w <= t) & (w > 0))
         out = np.empty(len(w))
-        out[order] = np.minimum(t, max(0.0, scale[fits[0]]) * w) if len(fits) else t
+        out[order] = np.minimum(t, max(0.0, scale[fits[0]]) * w) if len(fits) else np.where(w > 0, t, 0.0)
         return out
 
     def at(b: float, nearest: bool = False) -> np.ndarray | None:
@@ -143,31 +169,92 @@ def bounded(tokens: np.ndarray, groups: list[np.ndarray], shares: list[np.ndarra
                 return w / tokens
         return w / tokens if nearest else None
 
-    low, high = min(LEAST_BUDGET, budget), most
-    found = at(high) if high >= low else None
-    if found is not None:
-        return found
-    p = at(low) if high >= low else None
-    if p is None:
-        return at(low, True)
-    for _ in range(12):
-        middle = (low + high) / 2
-        found = at(middle)
-        if found is None:
-            high = middle
+    return largest(at, most, budget)
+
+
+def _bounded_large(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | None, budget: float, rounds: int = FIT_ROUNDS, near: float = NEAR) -> DataFrame:
+    """The cells that have tokens, with weight and probability: bounded() for any number of cells and values.  Totals are partial aggregates that are joined
+    back, and weights are written at each step, so that no group of cells meets in one task and only single numbers come to the driver."""
+    names = [f"_{d}" for d in DIMENSIONS]
+    cells = cells.where("tokens > 0").withColumn("tokens", F.col("tokens").cast("double"))
+    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
+    most = budget
+    for d in DIMENSIONS:
+        own = cells.groupBy(f"_{d}").agg(F.sum("tokens").alias("own"))
+        if targets and d in targets:
+            given = targets[d].groupBy(F.col("value").alias(f"_{d}")).agg(F.last("share").cast("double").alias("want"))
+            own = own.join(given, f"_{d}", "left").withColumn("want", F.coalesce("want", F.lit(0.0)))
         else:
-            low, p = middle, found
-    return p
+            own = own.withColumn("want", F.pow("own", F.lit(POWER[d])))
+        own = scratch.table(own, f"own_{d}")
+        every = own.agg(F.sum("want")).first()[0] or 1.0
+        own = own.withColumn(f"to_{d}", F.col("want") / F.lit(every))
+        least = own.where(F.col(f"to_{d}") > 0).agg(F.min(F.try_divide("own", F.lit(total) * F.col(f"to_{d}")))).first()[0]
+        most = most if least is None else min(most, least)
+        cells = cells.join(own.select(f"_{d}", f"to_{d}"), f"_{d}")
+    cells = scratch.table(cells, "weighed")
+    step = 0
+
+    def spread(now: DataFrame, d: str, b: float) -> DataFrame:
+        """Each value's cells get min(tokens, scale * weight), with a scale such that they sum to the target.  It starts where it would stand without caps and
+        grows by what the capped cells leave to the others, until it caps no more of them; a value whose cells are all capped keeps the scale that caps them."""
+        nonlocal step
+        scales = now.groupBy(f"_{d}").agg(F.coalesce(F.try_divide(F.max(f"to_{d}") * F.lit(b * total), F.sum("weight")), F.lit(0.0)).alias("scale"))
+        over = (F.col("weight") > 0) & (F.col("scale") * F.col("weight") > F.col("tokens"))
+        capped = 0
+        while True:
+            sums = now.join(scales, f"_{d}").groupBy(f"_{d}").agg(
+                F.max("scale").alias("scale"), F.max(f"to_{d}").alias("to"), F.count_if(over).alias("n"),
+                F.sum(F.when(over, F.col("tokens")).otherwise(0.0)).alias("held"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("rest"),
+            )
+            left = F.try_divide(F.col("to") * F.lit(b * total) - F.col("held"), F.col("rest"))
+            step += 1
+            written = scratch.table(sums.select(f"_{d}", F.greatest("scale", left).alias("scale"), "n"), f"scales-{step}")
+            n = written.agg(F.sum("n")).first()[0] or 0
+            scales = written.drop("n")
+            if n == capped:
+                break
+            capped = n
+        weight = F.when(F.col("weight") > 0, F.least("tokens", F.col("scale") * F.col("weight"))).otherwise(F.lit(0.0))
+        return now.join(scales, f"_{d}").withColumn("weight", weight).drop("scale")
+
+    def off(now: DataFrame, d: str, b: float) -> float:
+        """How far the share of the worst value is from its target."""
+        share = F.try_divide(F.sum("weight"), F.lit(b * total))
+        worst = now.groupBy(f"_{d}").agg(F.abs(share - F.max(f"to_{d}")).alias("off")).agg(F.max("off")).first()[0]
+        return float("inf") if worst is None else worst
+
+    best: list[str] = []
+
+    def at(b: float, nearest: bool) -> DataFrame | None:
+        nonlocal step
+        now, last = cells.withColumn("weight", F.col("tokens") * F.lit(b)), ""
+        for _ in range(rounds):
+            for d in DIMENSIONS:
+                now = spread(now, d, b)
+                step += 1
+                last = f"weighed-{step}"
+                now = scratch.table(now, last)
+                scratch.only("cells", "weighed", last, *best)
+            if all(off(now, d, b) <= near for d in DIMENSIONS):
+                best[:] = [last]
+                return now
+        return now if nearest else None
+
+    found = largest(at, most, budget) if total else cells.withColumn("weight", F.lit(0.0))
+    return found.select(*names, "weight", F.least(F.lit(1.0), F.try_divide("weight", "tokens")).alias("probability"))
 
 
-def fit_whole(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
-    """As fit(), with probabilities that keep the target shares.  Up to ONE_TASK cells are fitted on the driver; for more of them
-    fit() stands."""
+def fit_whole(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, rounds: int = FIT_ROUNDS) -> DataFrame:
+    """As fit(), with probabilities that keep the target shares.  Up to ONE_TASK cells are fitted on the driver, more of them by joined totals, to the same
+    result."""
     names = [f"_{d}" for d in DIMENSIONS]
-    cells = Scratch(docs.sparkSession, "raking").table(docs.groupBy(*names).agg(F.sum("_tokens").alias("tokens")), "cells")
+    scratch = Scratch(docs.sparkSession, "raking")
+    cells = scratch.table(docs.groupBy(*names).agg(F.sum("_tokens").alias("tokens")), "cells")
     rows = cells.limit(ONE_TASK + 1).collect()
     if len(rows) > ONE_TASK:
-        return fit(docs, targets, budget)
+        free = cells.where("tokens <= 0").select(*names, F.lit(0.0).alias("weight"), F.lit(1.0).alias("probability"))
+        return _bounded_large(cells, scratch, targets, budget, rounds).unionByName(free)
     held = [r for r in rows if r["tokens"] > 0]
     tokens = np.array([r["tokens"] for r in held], float)
     groups, shares = [], []
@@ -180,7 +267,7 @@ def fit_whole(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budg
             share = np.bincount(group, tokens, len(values)) ** POWER[d]
         groups.append(group)
         shares.append(share / share.sum() if share.sum() > 0 else share)
-    p = bounded(tokens, groups, shares, budget) if held else np.zeros(0)
+    p = bounded(tokens, groups, shares, budget, rounds) if held else np.zeros(0)
     out = [(*(r[n] for n in names), float(r["tokens"] * x), float(min(1.0, x))) for r, x in zip(held, p)]
     out += [(*(r[n] for n in names), 0.0, 1.0) for r in rows if not r["tokens"]]
     fitted = docs.sparkSession.createDataFrame(out, ", ".join(f"{n} string" for n in names) + ", weight double, probability double")

@@ -353,6 +353,35 @@ def test_raking_large_equals_small(docs, odd, empty, spark, monkeypatch):
             assert set(out[0]) == set(out[1]) and all(out[0][k] == pytest.approx(out[1][k], rel=1e-9, abs=1e-9) for k in out[0])
 
 
+def test_raking_whole_large_equals_small(docs, odd, empty, spark, monkeypatch):
+    """Beyond ONE_TASK cells the same probabilities come out: with caps that bind, without rows, and where no fit is found."""
+    want = {"lang": spark.createDataFrame([("en", 0.5), ("fr", 0.25), ("de", 0.25)], "value string, share double")}
+    for rows, options in ((docs, {"budget": 0.66}), (odd, {"rounds": 1}), (odd, {"rounds": 1, "targets": want}), (empty, {})):
+        out = []
+        labelled = raking.labelled(rows, topic="'any'" if rows is docs else raking.TOPIC)
+        for most in (200_000, 0):
+            monkeypatch.setattr(raking, "ONE_TASK", most)
+            out.append({(r["_source"], r["_lang"], r["_topic"]): (r["weight"], r["probability"]) for r in raking.fit_whole(labelled, **options).collect()})
+        assert set(out[0]) == set(out[1]) and all(out[0][k] == pytest.approx(out[1][k], rel=1e-9, abs=1e-9) for k in out[0])
+        assert rows is not docs or {p == 1 for _, p in out[0].values()} == {True, False}
+
+
+def test_raking_budget_search():
+    for edge in (0.79, 0.6, 0.4):
+        tried = []
+        got = raking.largest(lambda b, nearest: tried.append(b) or (b if b <= edge or nearest else None), 0.75, 0.8)
+        assert got == (0.75 if edge > 0.75 else pytest.approx(edge, abs=1e-4) if edge > 0.5 else 0.5) and len(tried) <= 14
+
+
+def test_raking_zero_shares_leave_the_rest_whole():
+    """Where a share of 0 empties a cell and the others of its group can't reach the target, they are taken whole."""
+    tokens = np.array([10.0, 10.0, 40.0])
+    p = raking.bounded(tokens, [np.array([0, 0, 1]), np.array([0, 1, 1])], [np.array([0.5, 0.5]), np.array([0.0, 1.0])], 0.8, rounds=1)
+    assert p[0] == 0 and p[1] > 0 and p[2] > 0
+    p = raking.bounded(tokens, [np.array([0, 1, 1]), np.array([0, 0, 1])], [np.array([0.0, 1.0]), np.array([0.5, 0.5])], 0.8, rounds=1)
+    assert p.tolist() == pytest.approx([0, 1, 0.375])
+
+
 def test_raking_odd_rows(odd, empty):
     out = raking.mixed(odd).collect()
     assert len(out) == odd.count() and all(r["selected"] for r in out if r["text"] in (None, ""))
