@@ -57,15 +57,14 @@ def by_title(posts: DataFrame) -> DataFrame:
     own = F.array(F.get("_all", F.lit(0))["m"])
     seeded = F.when(had, F.col("p.source_meta")).otherwise(own) if "source_meta" in posts.columns else own
     name = lambda m: F.struct(m["source_name"], m["source_type"], m["category_raw"], m["original_url"])
-    every = F.concat(seeded, rest)
-    # An entry stays if it is a seed or the first of its name; positions are compared in the list of names.
-    names = F.transform(every, name)
-    kept = F.filter(F.transform(every, lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda x: (x["i"] < F.size(seeded)) | (F.array_position(names, name(x["m"])) == x["i"] + 1))
+    entry = lambda seed: lambda m: F.struct(name(m).alias("name"), F.lit(seed).alias("stays"), m.alias("v"))
+    # An entry stays if it is a seed or the first of its name.
+    kept = _firsts(F.concat(F.transform(seeded, entry(True)), F.transform(rest, entry(False))))
     files = F.flatten(F.transform("_all", lambda x: x["a"]))
     own_files = F.size(F.get("_all", F.lit(0))["a"])
     urls = F.transform(files, lambda a: F.coalesce(a["url"], F.lit("")))
     kept_files = F.filter(F.transform(files, lambda a, i: F.struct(a.alias("a"), i.alias("i"))), lambda x: (x["i"] < own_files) | (F.coalesce(x["a"]["url"], F.lit("")) == "") | (F.array_position(urls, x["a"]["url"]) == x["i"] + 1))
-    out = grouped.select("p", "_n", "_flag", "_all", F.transform(kept, lambda x: x["m"]).alias("_meta"), F.transform(kept_files, lambda x: x["a"]).alias("_files"))
+    out = grouped.select("p", "_n", "_flag", "_all", kept.alias("_meta"), F.transform(kept_files, lambda x: x["a"]).alias("_files"))
     columns = [F.when(merged, _merged_list(c)).otherwise(F.col(f"p.{c}")).alias(c) for c in LISTS]
     columns += [F.when(merged, F.col("_flag")).otherwise(F.col("p.is_permanent_notice")).alias("is_permanent_notice"), F.when(merged, F.col("_files")).otherwise(F.col("p.attachments")).alias("attachments")]
     before = F.col("p.source_meta") if "source_meta" in posts.columns else F.lit(None)
@@ -74,6 +73,16 @@ def by_title(posts: DataFrame) -> DataFrame:
     return out.select(*[F.col(f"p.{c}") for c in posts.columns if c not in done], *columns)
 
 
+def _firsts(entries: Column) -> Column:
+    """The values of a list of (name, stays, v) without those that don't stay and whose name stands before them, in order.  Equal names are brought side by
+    side by sorting, so a list of n takes n log n steps; no lambda may reach outside its own element, as it would evaluate that anew for each."""
+    placed = F.sort_array(F.transform(entries, lambda e, i: F.struct(e["name"].alias("name"), i.alias("i"), e["stays"].alias("stays"), e["v"].alias("v"))))
+    before = F.concat(F.array(F.lit(None)), F.transform(placed, lambda e: F.struct(e["name"].alias("name"))))
+    pairs = F.zip_with(placed, before, lambda e, b: F.struct(e.alias("e"), b.alias("b")))
+    kept = F.filter(pairs, lambda p: p["e"].isNotNull() & (p["e"]["stays"] | p["b"].isNull() | ~p["e"]["name"].eqNullSafe(p["b"]["name"])))
+    return F.transform(F.sort_array(F.transform(kept, lambda p: F.struct(p["e"]["i"].alias("i"), p["e"]["v"].alias("v")))), lambda e: e["v"])
+
+
 def _merged_list(column: str) -> Column:
     return F.expr(f"array_distinct(filter(flatten(transform(_all, x -> coalesce(x.m.{column}, array()))), v -> v IS NOT NULL AND v <> ''))")
 

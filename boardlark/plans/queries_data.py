@@ -52,7 +52,7 @@ def url_first_wins(spark, d):
 
 @query(f"{POSTS} SELECT min(ord) AS ord, count(DISTINCT (source, category, original_url)) AS n, bool_or(permanent) AS permanent FROM posts GROUP BY CASE WHEN tkey = '' THEN 'o' || ord ELSE 't' || tkey END")
 def title_merge_counts(spark, d):
-    out = dedup.by_title(posts(spark, d))
+    out = dedup.by_title(posts(spark, d).drop("content"))  # bodies play no part, and needn't travel with the survivors
     return out.select(F.col("_ord").alias("ord"), F.coalesce(F.size("source_meta"), F.lit(1)).cast("long").alias("n"), F.col("is_permanent_notice").alias("permanent"))
 
 

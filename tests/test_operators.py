@@ -1,6 +1,7 @@
 """Search, classification, normalisation, merging, retention, store, answers, enrichment and crawls on literal cases."""
 
 import json
+import time
 from datetime import date
 
 import pytest
@@ -300,3 +301,19 @@ def test_api_and_command_line(spark, tmp_path, corpus, capsys):
 def test_provenance(spark):
     rows = posts(spark, {"title": "A"}, {"title": " a "}, {"title": ""}, {"title": ""})
     assert [(r["_ord"], r["survivor"]) for r in dedup.provenance(rows).orderBy("_ord").collect()] == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
+def one_title(spark, n):
+    """n posts of one title in 4 splits: every third has the URL of the one before, every file is its own but for the URL of the first."""
+    names = [F.array(F.lit("a")).alias(c) for c in ("source_name", "source_type", "category_raw")]
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("published_at", "crawled_at")]
+    k = F.when(F.col("id") % 3 == 2, F.col("id") - 1).otherwise(F.col("id")).cast("string")
+    files = F.array(*[F.struct(F.lit("f").alias("name"), F.concat(F.lit("f"), x).alias("url")) for x in (F.col("id").cast("string"), F.lit("0"))])
+    return spark.range(0, n, 1, 4).select(F.col("id").alias("_ord"), F.lit("T").alias("title"), k.alias("original_url"), files.alias("attachments"), F.lit(False).alias("is_permanent_notice"), *names, *nothing)
+
+
+def test_a_large_group_of_one_title_merges_its_metas(spark):
+    start = time.monotonic()
+    (row,) = dedup.by_title(one_title(spark, 15_000)).select("_ord", F.transform("source_meta", lambda m: m["original_url"]).alias("urls")).collect()
+    assert row["_ord"] == 0 and row["urls"] == [str(k) for k in range(15_000) if k % 3 != 2]
+    assert time.monotonic() - start < 20  # every post against every other took minutes
