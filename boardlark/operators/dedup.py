@@ -60,11 +60,10 @@ def by_title(posts: DataFrame) -> DataFrame:
     entry = lambda seed: lambda m: F.struct(name(m).alias("name"), F.lit(seed).alias("stays"), m.alias("v"))
     # An entry stays if it is a seed or the first of its name.
     kept = _firsts(F.concat(F.transform(seeded, entry(True)), F.transform(rest, entry(False))))
-    files = F.flatten(F.transform("_all", lambda x: x["a"]))
-    own_files = F.size(F.get("_all", F.lit(0))["a"])
-    urls = F.transform(files, lambda a: F.coalesce(a["url"], F.lit("")))
-    kept_files = F.filter(F.transform(files, lambda a, i: F.struct(a.alias("a"), i.alias("i"))), lambda x: (x["i"] < own_files) | (F.coalesce(x["a"]["url"], F.lit("")) == "") | (F.array_position(urls, x["a"]["url"]) == x["i"] + 1))
-    out = grouped.select("p", "_n", "_flag", "_all", kept.alias("_meta"), F.transform(kept_files, lambda x: x["a"]).alias("_files"))
+    # A file stays if it is the survivor's own, has no URL, or is the first of its URL.
+    link = lambda a: F.coalesce(a["url"], F.lit(""))
+    files = F.flatten(F.transform("_all", lambda x, i: F.transform(x["a"], lambda a: F.struct(link(a).alias("name"), ((i == 0) | (link(a) == "")).alias("stays"), a.alias("v")))))
+    out = grouped.select("p", "_n", "_flag", "_all", kept.alias("_meta"), _firsts(files).alias("_files"))
     columns = [F.when(merged, _merged_list(c)).otherwise(F.col(f"p.{c}")).alias(c) for c in LISTS]
     columns += [F.when(merged, F.col("_flag")).otherwise(F.col("p.is_permanent_notice")).alias("is_permanent_notice"), F.when(merged, F.col("_files")).otherwise(F.col("p.attachments")).alias("attachments")]
     before = F.col("p.source_meta") if "source_meta" in posts.columns else F.lit(None)

@@ -60,7 +60,7 @@ def title_merge_counts(spark, d):
 c AS (SELECT k, category, min(ord) AS o FROM g GROUP BY ALL), s1 AS (SELECT k, string_agg(source, '|' ORDER BY o) AS sources, string_agg('https://files.test/' || source, '|' ORDER BY o) AS files FROM s GROUP BY k),
 c1 AS (SELECT k, string_agg(category, '|' ORDER BY o) AS categories FROM c GROUP BY k), o1 AS (SELECT k, min(ord) AS ord FROM g GROUP BY k) SELECT ord, sources, categories, files FROM o1 JOIN s1 USING (k) JOIN c1 USING (k)""")
 def title_merge_sources(spark, d):
-    out = dedup.by_title(posts(spark, d))
+    out = dedup.by_title(posts(spark, d).drop("content"))
     return out.select(F.col("_ord").alias("ord"), F.array_join("source_name", "|").alias("sources"), F.array_join("category_raw", "|").alias("categories"), F.array_join(F.transform("attachments", lambda a: a["url"]), "|").alias("files"))
 
 

@@ -317,3 +317,10 @@ def test_a_large_group_of_one_title_merges_its_metas(spark):
     (row,) = dedup.by_title(one_title(spark, 15_000)).select("_ord", F.transform("source_meta", lambda m: m["original_url"]).alias("urls")).collect()
     assert row["_ord"] == 0 and row["urls"] == [str(k) for k in range(15_000) if k % 3 != 2]
     assert time.monotonic() - start < 20  # every post against every other took minutes
+
+
+def test_a_large_group_of_one_title_merges_its_files(spark):
+    start = time.monotonic()
+    (row,) = dedup.by_title(one_title(spark, 15_000)).select(F.transform("attachments", lambda a: a["url"]).alias("urls")).collect()
+    assert row["urls"] == ["f0", "f0", *(f"f{k}" for k in range(1, 15_000))]  # the survivor's own files all stay
+    assert time.monotonic() - start < 20
