@@ -249,3 +249,16 @@ def test_merge_cycle_keeps_the_last_state_if_refused(spark):
 def test_sequence_and_permanent_first(spark):
     items = spark.createDataFrame([("b", 1, 0, False), ("b", 1, 1, True), ("a", 1, 0, False)], "board string, page int, pos int, is_permanent_notice boolean")
     assert [(r["board"], r["pos"]) for r in crawl.permanent_first(items).collect()] == [("a", 0), ("b", 1), ("b", 0)]
+
+
+def test_titles_equal_their_sql_on_odd_pages(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from boardlark.catalogue import ORACLE_SQL
+
+    titles = ("a &amp;&amp; b&amp", "token = &quot;0b96", "&lt;b&gt; &amp;amp; c", "\n a\tb\x0bc \u3000\xa0", "\xa0x\u2003y", "", "$1 \\1")
+    pages = [None, "", "<p>x", "<title>open", "<TITLE lang=x>a</TitlE><title>z</title>", "<!-- <title>c</title> --><title>d</title>", *(f"<head><title>{t}</title></head>" for t in titles)]
+    rows = list(enumerate(pages))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    assert sorted(tuple(r) for r in parsers.titles(spark.createDataFrame(rows, "page_id bigint, html string").selectExpr("*", "'' AS url")).collect()) == sorted(con.execute(ORACLE_SQL["html_title"]).fetchall())
