@@ -262,3 +262,14 @@ def test_titles_equal_their_sql_on_odd_pages(spark):
     con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
     con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
     assert sorted(tuple(r) for r in parsers.titles(spark.createDataFrame(rows, "page_id bigint, html string").selectExpr("*", "'' AS url")).collect()) == sorted(con.execute(ORACLE_SQL["html_title"]).fetchall())
+
+
+def test_texts_are_converted_in_steps_of_bounded_bytes(spark):
+    import pyarrow as pa
+
+    texts = [None, "", "a" * 3_000_000, *["b" * 300_000] * 20, None]
+    steps = [step.to_pylist() for step in m._steps(pa.array(texts))]
+    assert sum(steps, []) == texts and all(sum(len(t or "") for t in s[1:]) <= m.STEP_BYTES for s in steps) and list(m._steps(pa.array([], pa.string()))) == []
+    rows = spark.createDataFrame(list(enumerate([None, " ", "<p>a</p>", "x" * 2_000_000, *["b • c"] * 50])), "k int, t string").coalesce(1)
+    got = [r["t"] for r in rows.select("k", m.normalized_content("t").alias("t")).orderBy("k").collect()]
+    assert got == [None, "", "a", "x" * 2_000_000, *["b\n• c"] * 50] and rows.where("k < 0").select(m.markdown("t")).count() == 0
