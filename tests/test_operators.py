@@ -324,3 +324,22 @@ def test_a_large_group_of_one_title_merges_its_files(spark):
     (row,) = dedup.by_title(one_title(spark, 15_000)).select(F.transform("attachments", lambda a: a["url"]).alias("urls")).collect()
     assert row["urls"] == ["f0", "f0", *(f"f{k}" for k in range(1, 15_000))]  # the survivor's own files all stay
     assert time.monotonic() - start < 20
+
+
+def published(spark, name):
+    """The tables that a query of the catalogue publishes when it is the first of its application."""
+    from boardlark.catalogue import QUERIES
+    from boardlark.plans import view
+
+    view._PUBLISHED.clear()
+    QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    return [spark.read.parquet(where) for where in view._PUBLISHED.values()]
+
+
+@pytest.mark.parametrize("name", ["rank_all"])
+def test_texts_are_published_without_sorting_them(spark, name):
+    (table,) = published(spark, name)
+    assert table.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    placed = table.select(F.input_file_name().alias("f"), F.struct("audience_group", "published_at").alias("v"), F.monotonically_increasing_id().alias("k"))
+    files = placed.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("rows")).select(F.transform("rows", lambda r: r["v"]).alias("v"))
+    assert files.where(F.col("v") != F.sort_array("v")).count() > 0
