@@ -336,7 +336,7 @@ def published(spark, name):
     return [spark.read.parquet(where) for where in view._PUBLISHED.values()]
 
 
-@pytest.mark.parametrize("name", ["rank_all"])
+@pytest.mark.parametrize("name", ["rank_all", "search_like_wildcard_total"])
 def test_texts_are_published_without_sorting_them(spark, name):
     (table,) = published(spark, name)
     assert table.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
